@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import line_dedup, packing, token_counts, token_files
+from tickerloom.llm import line_dedup, packing, secrets, token_counts, token_files
 from tickerloom.llm.common import new_path
 
 
@@ -35,8 +35,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_documents(_table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["layers"] == "")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"), "complete")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_packing, op7_token_files, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_packing, op7_token_files, op8_line_dedup, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
