@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import line_dedup, packing, secrets, token_counts, token_files
+from tickerloom.llm import line_dedup, packing, quality, secrets, token_counts, token_files, toxicity
 from tickerloom.llm.common import new_path
 
 
@@ -24,6 +24,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "op7")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
@@ -43,7 +51,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_packing, op7_token_files, op8_line_dedup, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op3_packing, op4_quality, op6_toxicity, op7_token_files, op8_line_dedup, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
