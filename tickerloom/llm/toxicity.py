@@ -132,7 +132,9 @@ def fit_calibrated(bags: list, y: np.ndarray, share: float, seed: int = 7) -> To
     shift = 0.0
     if len(set(y[rest].tolist())) == 2 and len(set(y[most].tolist())) == 2:
         trial = fit([bags[i] for i in most], y[most], seed=seed)
-        shift = threshold(np.array([trial.logit(*bags[i]) for i in rest]), y[rest], share)
+        # With few examples to place it on, the cut-off leans to equal costs: the rarer class would vanish otherwise.
+        few = (y[rest] == 1).sum()
+        shift = threshold(np.array([trial.logit(*bags[i]) for i in rest]), y[rest], (few * share + 100 * 0.3) / (few + 100))
     model = fit(bags, y, seed=seed)
     return ToxicityModel(model.weights, model.bias - shift)
 
