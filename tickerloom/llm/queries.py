@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import line_dedup, packing, quality, secrets, token_counts, token_files, toxicity
+from tickerloom.llm import decontamination, line_dedup, packing, quality, secrets, token_counts, token_files, toxicity
 from tickerloom.llm.common import new_path
 
 
@@ -28,6 +28,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontamination.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "n_match", "window")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -51,8 +56,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_packing, op4_quality, op6_toxicity, op7_token_files, op8_line_dedup, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op3_packing, op4_quality, op5_decontamination, op6_toxicity, op7_token_files, op8_line_dedup, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op8_line_dedup": line_dedup.SQL}
