@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import decontamination, line_dedup, packing, quality, secrets, token_counts, token_files, toxicity
+from tickerloom.llm import decontamination, line_dedup, neighbours, packing, quality, secrets, token_counts, token_files, toxicity
 from tickerloom.llm.common import new_path
 
 
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -56,7 +60,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_packing, op4_quality, op5_decontamination, op6_toxicity, op7_token_files, op8_line_dedup, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_packing, op4_quality, op5_decontamination, op6_toxicity, op7_token_files, op8_line_dedup, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
