@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import decontamination, line_dedup, neighbours, packing, quality, secrets, token_counts, token_files, toxicity
+from tickerloom.llm import decontamination, jaccard_join, line_dedup, neighbours, packing, quality, secrets, token_counts, token_files, toxicity
 from tickerloom.llm.common import new_path
 
 
@@ -52,6 +52,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_documents(_table(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["layers"] == "")
@@ -60,7 +64,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_packing, op4_quality, op5_decontamination, op6_toxicity, op7_token_files, op8_line_dedup, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_packing, op4_quality, op5_decontamination, op6_toxicity, op7_token_files, op8_line_dedup, op9_jaccard_join, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -176,3 +176,13 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, fold_out
     """doc_id, held_out, score, predicted (1 from a score of 0.5) for every document, by a model trained on the other folds' labels."""
     scored = score_documents(docs, train(docs, labels, "toxic", folds, fold_out, most))
     return scored.select("doc_id", labelled.held_out(F.col("doc_id"), folds, fold_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_harmless(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under 0.5; rows are filtered where they are, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in doc_batches(batches):
+            yield batch.filter(pa.array([model.score(t) < 0.5 for t in texts]))
+
+    return docs.mapInArrow(run, docs.schema)
