@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import doc_batches, materialize, mix, shingle_hashes, word_hashes
@@ -21,6 +21,8 @@ WIDTH, PERCENT = 5, 80
 COUNTERS_LOG, BLOCK_LOG = 22, 16
 #: Fragments of the global order.
 FRAGMENTS = 8
+#: Rows of two numbers that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -37,17 +39,24 @@ def set_class(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def needed(percent: int, n_a: int, n_b: int) -> int:
-    """The overlap from which sets of these sizes link: 100 * x >= percent * (n_a + n_b - x)."""
-    return -(-percent * (n_a + n_b) // (100 + percent))
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * 2**k bins (about as many as elements): whether an odd number of elements falls into it.
+
+    Elements in both sets cancel out, so two sets differ by at least as many elements as their bits: a bound, never an estimate.
+    Twice as many bins fold into half as many by exclusive or.
+    """
+    words = 1 << max(0, (-(-len(shingles) // 64) - 1).bit_length())
+    bins = (shingles & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(bins, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One pass over the texts: (doc_id, n, cls) of each row, and each task's n-gram counts as rows of (block, counts)."""
+    """One pass over the texts: (doc_id, n, cls, bits) of each row, and each task's n-gram counts as rows of (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, held = np.zeros(1 << COUNTERS_LOG, np.uint32), [], 0
-        names = ["doc_id", "n", "cls", "block", "counts"]
+        names, bits_of = ["doc_id", "n", "cls", "bits", "block", "counts"], pa.list_(pa.int64())
 
         def flush() -> None:
             if waiting:
@@ -55,10 +64,11 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 waiting.clear()
 
         for batch, texts in doc_batches(batches):
-            sizes, classes = [], []
+            sizes, classes, bits = [], [], []
             for text in texts:
                 s = shingle_set(text, width)
                 sizes.append(len(s))
+                bits.append(parity_bits(s))
                 classes.append(set_class(s))
                 waiting.append((s >> np.uint64(64 - COUNTERS_LOG)).astype(np.int32))
                 held += len(s)
@@ -66,7 +76,7 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     flush()
                     held = 0
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, bits_of), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         flush()
         for block in range(len(counts) >> BLOCK_LOG):
             part = counts[block << BLOCK_LOG : (block + 1) << BLOCK_LOG]
@@ -75,9 +85,9 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 small = np.minimum(part, 255).astype(np.uint8)
                 big = at[part[at] >= 255]
                 packed = np.uint32(len(big)).tobytes() + big.astype("<u4").tobytes() + part[big].astype("<u4").tobytes() + small.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, bits_of), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, bits array<long>, block int, counts binary")
 
 
 def _levels(described: DataFrame) -> np.ndarray:
@@ -176,13 +186,15 @@ def shared_entries(entries: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, classes: DataFrame, levels, width: int) -> DataFrame:
-    """(cls, fragment, grams) of one document of each class: its set cut where the global order is cut."""
+    """(cls, fragment, grams) of the (cls, rep) given: a representative's set, cut where the global order is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = FRAGMENTS - 2  # fragments of the rare n-grams, by ranges of hash; frequent ones have the other two
         for batch, texts in doc_batches(batches):
             for cls, text in zip(batch.column("cls").to_pylist(), texts):
                 s = shingle_set(text, width)
+                if set_class(s) != cls:  # another text under the representative's doc_id
+                    continue
                 level = levels.value[s >> np.uint64(64 - COUNTERS_LOG)]
                 range_of = (s >> np.uint64(32)) * np.uint64(low) >> np.uint64(32)
                 fragment = np.where(level == 0, range_of, np.where(level == 1, low, low + 1)).astype(np.int64)
@@ -191,8 +203,34 @@ def segments(docs: DataFrame, classes: DataFrame, levels, width: int) -> DataFra
                 grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(s[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([cls] * len(found), pa.int64()), pa.array(found, pa.int32()), grams], ["cls", "fragment", "grams"])
 
-    chosen = docs.select("doc_id", "text").join(classes.select(F.col("rep").alias("doc_id"), "cls"), "doc_id")
-    return chosen.select("cls", "text").mapInArrow(run, "cls long, fragment int, grams array<long>")
+    wanted = classes.select(F.col("rep").alias("doc_id"), "cls")
+    if wanted.count() <= MOST_BROADCAST:  # two numbers a row: at most some tens of megabytes; beyond that the texts are shuffled
+        wanted = F.broadcast(wanted)
+    chosen = docs.select("doc_id", "text").join(wanted, "doc_id")
+    return chosen.select("cls", "text").mapInArrow(run, "cls long, fragment int, grams array<long>").dropDuplicates(["cls", "fragment"])
+
+
+def _differing_bits() -> Column:
+    """Bits in which bits_a and bits_b differ, the longer one folded to the shorter one's size."""
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        twice = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), twice).otherwise(x)
+
+    a, b = folded(F.col("bits_a"), F.col("bits_b")), folded(F.col("bits_b"), F.col("bits_a"))
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, c: n + c)
+
+
+def close_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) that may link by their parity bits; sizes within a factor of two fold to one length.
+
+    Linked sets differ by at most (100 - percent) / (100 + percent) of n_a + n_b elements, so no link is lost here.
+    """
+    of = lambda s: bits.select(F.col("cls").alias(s), F.col("bits").alias(f"bits_{s}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    close = (100 + percent) * _differing_bits() <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return joined.filter(close).select("a", "b", "n_a", "n_b").distinct()
 
 
 def links_of(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
@@ -241,7 +279,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     Two documents link if 100 * |A & B| >= percent * |A | B| for their sets of distinct word n-grams (words
     ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case; fewer than ``width`` words: the whole sequence is one). component_id is the
     smallest doc_id reachable by links. Equal sets are one class from the start. Candidates share an n-gram of their
-    prefixes; per shared n-gram, first every class is compared with one leader, then with the leaders of other components,
+    prefixes and differ in few parity bits; per shared n-gram, first every class is compared with one leader, then with the leaders of other components,
     last with everything of other components: what is left out lies in one component already.
 
     Null or empty texts: size 0, component of their own. Null doc_id: size given, component null, no links. Rows of one
@@ -257,19 +295,23 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     entries = prefix_entries(docs.filter(F.col("doc_id").isNotNull()), levels, width, percent)
     shared = materialize(shared_entries(entries), "shared")
-    needed_classes = materialize(classes.join(shared.select("cls").distinct(), "cls"), "candidates")
-    segs = materialize(segments(docs, needed_classes, levels, width), "segments")
+    candidates = materialize(classes.join(shared.select("cls").distinct(), "cls"), "candidates")
+    all_bits = described.filter(F.col("block").isNull()).select(F.col("doc_id").alias("rep"), "cls", "bits")
+    bits = materialize(candidates.join(all_bits, ["rep", "cls"]).select("cls", "bits").dropDuplicates(["cls"]), "bits")
 
     def grown(links: DataFrame | None, pairs: DataFrame, label: str) -> DataFrame:
         """Links so far and those among ``pairs``, between representatives."""
-        rep = lambda s: needed_classes.select(F.col("cls").alias(s), F.col("rep").alias(f"rep_{s}"))
-        new = links_of(materialize(pairs, f"pairs{label}"), segs, percent).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        close = materialize(close_pairs(pairs, bits, percent), f"pairs{label}")
+        ends = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct()
+        segs = materialize(segments(docs, candidates.join(ends, "cls"), levels, width), f"segments{label}")
+        rep = lambda s: candidates.select(F.col("cls").alias(s), F.col("rep").alias(f"rep_{s}"))
+        new = links_of(close, segs, percent).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         return materialize(new if links is None else new.unionByName(links), f"links{label}")
 
     def open_entries(links: DataFrame) -> DataFrame:
         """Entries of keys whose classes are in several components, with their components."""
         label = components(links)
-        of = materialize(needed_classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("comp")), "comps")
+        of = materialize(candidates.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("comp")), "comps")
         within = shared.join(of, "cls")
         several = within.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         return materialize(within.join(several, "key"), "open")
@@ -281,7 +323,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     leaders = still.groupBy("key", "comp").agg(first).select("key", "comp", "l.cls", "l.n", "l.pos")
     links = grown(links, _pairs(still, leaders, percent, F.col("comp_a") != F.col("comp_b")), "1")
     still = open_entries(links)
-    links = grown(links, _pairs(still, still, percent, (F.col("comp_a") < F.col("comp_b"))), "2")
+    links = grown(links, _pairs(still, still, percent, F.col("comp_a") < F.col("comp_b")), "2")
 
     label = components(links)
     of_class = materialize(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("component")), "components")
