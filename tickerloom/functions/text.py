@@ -152,12 +152,19 @@ def is_usable_headline(headline: Column) -> Column:
     return F.length(headline).between(20, 220) & ~headline.rlike(r"(…|\.\.\.)") & ~headline.rlike(r"\s[|–—]\s")
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value computed once: inside a lambda a plain expression would be computed anew for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def phrases(text: Column, most_words: int = 4) -> Column:
     """Every run of one to ``most_words`` words with what stands between them, as written: whole-word search by set intersection."""
-    pieces = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda i: F.coalesce(F.try_element_at(pieces, i).rlike(r"^[\p{L}\p{N}]"), F.lit(False)))
-    runs = F.transform(at, lambda i: F.transform(F.array(*[F.lit(2 * k + 1) for k in range(most_words)]), lambda n: F.array_join(F.slice(pieces, i, n), "")))
-    return F.array_distinct(F.flatten(runs))
+
+    def runs(pieces: Column) -> Column:
+        at = F.filter(F.transform(pieces, lambda p, i: F.when(p.rlike(r"^[\p{L}\p{N}]"), i + 1)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(at, lambda i: F.transform(F.array(*[F.lit(2 * k + 1) for k in range(most_words)]), lambda n: F.array_join(F.slice(pieces, i, n), ""))))
+
+    return F.array_distinct(bind(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1)), runs))
 
 
 def decode_entities(text: Column) -> Column:
