@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -769,3 +770,25 @@ def json_props(t):
 @query("SELECT user_id, event_type, count(*) AS n, epoch_us(min(ts)) AS first_ts FROM events GROUP BY ALL")
 def provider_counts(t):
     return t("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_ts"))
+
+
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 15 MINUTES, ts)) AS start, count(*) AS n FROM (SELECT DISTINCT ON (user_id, event_type, date_trunc('hour', ts)) * FROM events WHERE event_id < 2000 ORDER BY user_id, event_type, date_trunc('hour', ts), ts, event_id) GROUP BY ALL")
+def quarter_hour_counts(t):
+    """First sighting of each (user, type) an hour, counted by quarter-hour: the batch form of the streaming operators."""
+    e = t("events").filter("event_id < 2000").withColumn("ts", F.col("ts").cast("timestamp"))
+    hour = e.withColumn("hour", F.date_trunc("hour", "ts"))
+    first = hour.groupBy("user_id", "event_type", "hour").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("event_type", "f.ts")
+    return first.groupBy("event_type", F.unix_micros(times.quarter_hour(F.col("ts"))).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_event_dedupe(t):
+    """Events through the file stream with deduplication, read as far as there are files."""
+    from tickerloom.streaming import ingest
+
+    table = t("events")
+    spark, folder = table.sparkSession, table.inputFiles()[0].rsplit("/", 1)[0]
+    base = spark.sparkContext.getCheckpointDir().rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    files = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet" if folder.rsplit("/", 1)[-1] != "events.parquet" else "*.parquet").load(folder)
+    ingest.write_batches(ingest.dedupe(files.select("user_id", "event_type"), ["user_id", "event_type"], "ts"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_type")
