@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import doc_batches, materialize
 from tickerloom.llm.tokens import END_ID, default_vocabulary, encoder
 
+#: Rows of four numbers that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, size_log int, task int, nth long"
 
 
@@ -78,13 +80,16 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
         raise ValueError("capacity must be a power of two")
     pieces = materialize(cut_documents(docs, vocabulary, capacity, end_id), "pack")
     of_class = Window.partitionBy("size_log")
-    first = (
+    first = materialize(
         pieces.groupBy("size_log", "task")
         .agg(F.count(F.lit(1)).alias("here"))
         .withColumn("before", F.sum("here").over(of_class.orderBy("task")) - F.col("here"))
         .withColumn("in_class", F.sum("here").over(of_class))
-        .drop("here")
+        .drop("here"),
+        "offsets",
     )
+    if first.count() <= MOST_BROADCAST:  # a few numbers a task and class; beyond that Spark joins by shuffle
+        first = F.broadcast(first)
     per_bin_log = F.lit(capacity.bit_length() - 1) - F.col("size_log")
     numbered = pieces.join(first, ["size_log", "task"]).withColumn("number", F.col("before") + F.col("nth"))
     per_bin = F.expr(f"shiftleft(1L, {capacity.bit_length() - 1} - size_log)")
