@@ -13,7 +13,7 @@ from tickerloom.llm.common import doc_batches
 from tickerloom.llm.tokens import default_vocabulary, encoder
 
 #: Lengths to a block; suffix sums go over the blocks, then within each.
-BLOCK = 1 << 12
+BLOCK = 1 << 8
 
 
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
