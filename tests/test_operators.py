@@ -145,3 +145,22 @@ def test_streams(spark, tmp_path):
     q = ingest.cluster_activity(ingest.unit_stream(spark, src, df.schema), "cluster", "at").writeStream.format("memory").queryName("activity").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.cluster, r.members, r.status) for r in spark.table("activity").collect()} == {(k, 12, "open") for k in range(4)}
+
+
+def test_ingest_unit_is_idempotent(spark):
+    from tickerloom.operators import ingest_unit as unit
+
+    columns = "candidate_id long, normalized_url string, provider long, provider_item_id string, normalized_headline string, headline_kind string, domain string, name string, quality string, fingerprint string"
+    batch = spark.createDataFrame([(1, "u1", 1, None, "a", "t", "x.com", "X", "known", "f1"), (2, "u1", 1, None, "b", "t", "x.com", None, "known", "f1"), (3, "u3", 1, None, "a", "t", "off.com", None, "unknown", "f3"), (4, "u4", 1, "i", "a", "t", "y.com", None, "unknown", "f4")], columns)
+    refused = spark.createDataFrame([(1, "f9", ["non-english"], "z.com", None, "unknown")], "provider long, fingerprint string, reasons array<string>, domain string, name string, quality string")
+    stored = spark.createDataFrame([], columns + ", is_root boolean")
+    sources = spark.createDataFrame([("off.com", None, "unknown", False)], "domain string, name string, quality string, enabled boolean")
+    units = spark.createDataFrame([("k0",)], "unit_key string")
+    r = unit.ingest_unit(batch, refused, stored, sources, units, "k1", "run")
+    assert {(c.candidate_id, c.root_id) for c in r.candidates.collect()} == {(1, 1), (4, 1)}
+    assert sorted(s.created_candidate for s in r.sightings.collect()) == [False, True, True]
+    assert {x.domain for x in r.sources.collect()} == {"x.com", "y.com", "z.com"}
+    n = r.counters.first()
+    assert (n.returned, n.inserted, n.duplicates, n.rejected, n.unit_skipped) == (3, 2, 1, 2, False)
+    again = unit.ingest_unit(batch, refused, stored, sources, units, "k0", "run").counters.first()
+    assert (again.returned, again.rejected, again.unit_skipped) == (0, 0, True)

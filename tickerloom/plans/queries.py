@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions import classify, fixed, text, times, urls
-from tickerloom.operators import clustering, health, intake, joins, ranking, slate, warehouse
+from tickerloom.operators import clustering, editorial, health, ingest_unit, intake, joins, ranking, slate, warehouse
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -792,3 +792,71 @@ def stream_event_dedupe(t):
     files = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet" if folder.rsplit("/", 1)[-1] != "events.parquet" else "*.parquet").load(folder)
     ingest.write_batches(ingest.dedupe(files.select("user_id", "event_type"), ["user_id", "event_type"], "ts"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("user_id", "event_type")
+
+
+# --- ingest and editorial reads ------------------------------------------------------------------------------------------
+
+_ITEMS = """
+WITH it AS (SELECT o_orderkey AS cluster_id, ['basketball', 'football', 'golf'][(o_custkey % 3 + 1)::INT] AS sport, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 1000 END AS rank, o_totalprice AS score,
+  'r' || (o_orderkey % 3) AS run_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'suggested' ELSE 'held' END AS status, CASE WHEN o_orderkey % 8 = 0 THEN 'ineligible' ELSE 'eligible' END AS eligibility, o_orderdate AS last_seen_at FROM orders)
+"""
+
+
+def _items(t) -> DataFrame:
+    o = F.col("o_orderkey")
+    return t("orders").select(
+        o.alias("cluster_id"), F.element_at(F.array(F.lit("basketball"), F.lit("football"), F.lit("golf")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("sport"), F.when(o % 6 != 0, o % 1000).alias("rank"),
+        F.col("o_totalprice").alias("score"), F.concat(F.lit("r"), (o % 3).cast("string")).alias("run_id"), F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "suggested").otherwise("held").alias("status"),
+        F.when(o % 8 == 0, "ineligible").otherwise("eligible").alias("eligibility"), F.col("o_orderdate").cast("timestamp").alias("last_seen_at"),
+    )
+
+
+@query(_ITEMS + "SELECT cluster_id, CASE WHEN run_id = 'r1' AND cluster_id % 50 <> 0 THEN rank END AS rank, CASE WHEN cluster_id % 50 = 0 THEN 'ineligible' ELSE eligibility END AS eligibility FROM it")
+def finish_rank(t):
+    items = _items(t)
+    return editorial.finish_rank(items, F.lit("r1"), items.filter("cluster_id % 50 = 0").select("cluster_id")).select("cluster_id", "rank", "eligibility")
+
+
+@query(_ITEMS + "SELECT cluster_id, rank, score, status FROM it WHERE sport = 'basketball' AND status IN ('approved', 'suggested') ORDER BY it.rank NULLS LAST, score DESC, cluster_id LIMIT 500")
+def list_items(t):
+    return editorial.list_items(_items(t), "basketball", ["approved", "suggested"], limit=500).select("cluster_id", "rank", "score", "status")
+
+
+@query(
+    _MEMBERS
+    + """, g AS (SELECT cluster_id, count(DISTINCT source) AS source_count, max(fresh_at) AS last_seen_at, CASE WHEN count(*) FILTER (WHERE confidence = 'medium') > 0 THEN 'medium' ELSE 'high' END AS confidence FROM m GROUP BY cluster_id)
+SELECT cluster_id, source_count, epoch_us(last_seen_at) AS last_seen_at FROM g WHERE confidence = 'high' AND source_count >= 4 ORDER BY source_count DESC, g.last_seen_at DESC, cluster_id LIMIT 200"""
+)
+def list_clusters(t):
+    feed = clustering.cluster_aggregates(_members(t)).withColumn("sport", F.lit("golf"))
+    return editorial.list_clusters(feed, min_confidence="high", min_sources=4, by_sources=True, limit=200).select("cluster_id", "source_count", _micros("last_seen_at"))
+
+
+@query(_MEMBERS + "SELECT cluster_id, source AS domain, count(*) AS n, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, source) AS nth FROM m GROUP BY cluster_id, source")
+def source_summary(t):
+    s = editorial.source_summary(_members(t).withColumn("domain", F.col("source")))
+    return s.select("cluster_id", "domain", "n", F.col("nth").cast("long").alias("nth"))
+
+
+@query(
+    _CAND
+    + """, st AS (SELECT provider, source || lang AS fingerprint, count(*) AS n FROM cand WHERE candidate_id % 2 = 0 GROUP BY ALL),
+f AS (SELECT provider, source || lang AS fingerprint, count(*) AS n FROM cand WHERE candidate_id % 2 = 1 GROUP BY ALL)
+SELECT coalesce(st.provider, f.provider) AS provider, coalesce(st.fingerprint, f.fingerprint) AS fingerprint, coalesce(st.n, 0) + coalesce(f.n, 0) AS times_seen FROM st FULL JOIN f ON st.provider = f.provider AND st.fingerprint = f.fingerprint"""
+)
+def merge_rejections(t):
+    c = _cand(t).select("candidate_id", "provider", F.concat("source", "lang").alias("fingerprint"), F.array("sport").alias("reasons"))
+    stored = c.filter("candidate_id % 2 = 0").groupBy("provider", "fingerprint").agg(F.min("reasons").alias("reasons"), F.count(F.lit(1)).alias("times_seen"))
+    return ingest_unit.merge_rejections(stored, c.filter("candidate_id % 2 = 1")).select("provider", "fingerprint", "times_seen")
+
+
+@query(
+    _PAGES
+    + """, b AS (SELECT page_id AS candidate_id, normalized AS normalized_url, domain FROM norm WHERE normalized IS NOT NULL AND page_id % 3 <> 0), k AS (SELECT DISTINCT normalized FROM norm WHERE page_id % 3 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY candidate_id) AS n FROM b) SELECT candidate_id, n = 1 AND normalized_url NOT IN (SELECT normalized FROM k WHERE normalized IS NOT NULL) AS inserted FROM o"""
+)
+def ingest_batch(t):
+    p = _normalized_pages(t).filter("normalized is not null").select(
+        F.col("page_id").alias("candidate_id"), F.col("normalized").alias("normalized_url"), F.lit(1).alias("provider"), F.lit(None).cast("string").alias("provider_item_id"), F.lit("").alias("normalized_headline")
+    )
+    return warehouse.ingest_batch(p.filter("candidate_id % 3 <> 0"), p.filter("candidate_id % 3 = 0")).select("candidate_id", "inserted")
