@@ -345,7 +345,7 @@ _STEMS = {"trade": "the", "injury": "on", "record": "er", "death": "an", "signin
 
 
 def _synthetic_headline(col):
-    """A headline in the reference vocabulary from a row's number, so that the rules have something to match."""
+    """A headline in the lexicon's vocabulary from a row's number, so that the rules have something to match."""
     who = F.element_at(F.array(*[F.lit(x) for x in ("Lakers", "Celtics", "Bears", "Cubs", "Trail Blazers")]), (col % 5 + 1).cast("int"))
     did = F.element_at(F.array(*[F.lit(x) for x in ("trade star guard", "beat Celtics 110-102", "sign rookie to $15K deal", "lose knee back injury", "preview: how to watch", "will beat Bulls tonight", "set franchise record")]), (col % 7 + 1).cast("int"))
     return F.concat(who, F.lit(" "), did)
