@@ -14,7 +14,7 @@ import numpy as np
 
 END_ID = 1
 #: Words remembered by a worker; beyond it the table starts anew, which costs time only.
-REMEMBER = 1_200_000
+REMEMBER = 600_000
 #: Words of a-z and the small letters of Latin-1: the normalizer leaves them as they are and the pre-tokenizer whole.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 _PUNCT = b".,|!$%&*#;:?"
