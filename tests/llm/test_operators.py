@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm import decontamination, jaccard_join, line_dedup, neighbours, packing, quality, secrets, token_counts, token_files, toxicity
 from tickerloom.llm.common import new_path, word_hashes
-from tickerloom.llm.tokens import default_vocabulary, encoder
+from tickerloom.llm.tokens import WordEncoder, default_vocabulary, encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 string, pos string, __x string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,6 +72,20 @@ def test_word_encoder_starts_anew(monkeypatch, rows):
         assert list(e.ids((r[1] or "").encode())) == ids_of(r[1])[:-1]
 
 
+def test_word_encoder_equals_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    fresh, e = Tokenizer.from_file(default_vocabulary()), WordEncoder(default_vocabulary())
+    words = ["foo).", '"foo".', '"x".', "foo],", "foo-.", "foo\u201d.", "...", "<|endoftext|>", "a<|endoftext|>b.", "a<|ENDOFTEXT|>b.", "<|endoftext|>.", "<|endoftext|", "J\u030c.", "\u00d7.", "\u00aa."]
+    pieces = ["a", "B", "7", "é", "É", ")", '"', "]", "-", "'s", "'", "…", "\u201d", "½", "\u00a0", "\u030c", "Ω", "<|endoftext|>", "<|", "|>", *".,|!$%&*#;:?"]
+    words += ["".join(rng.choices(pieces, k=rng.randrange(1, 7))) for _ in range(20_000)]
+    for w in words:
+        assert list(e.ids(w.encode())) == fresh.encode(w, add_special_tokens=False).ids, w
+    text = " ".join(words)
+    assert list(e.ids(text.encode())) == fresh.encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts(docs, rows, empty):
     lengths = [len(ids_of(r[1])) - 1 for r in rows]
     limits = token_counts.context_limits(token_counts.length_histogram(docs))

@@ -18,6 +18,9 @@ REMEMBER = 600_000
 #: Words of a-z and the small letters of Latin-1: the normalizer leaves them as they are and the pre-tokenizer whole.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 _PUNCT = b".,|!$%&*#;:?"
+#: A run of symbols is one piece, so closing punctuation is a piece of its own only after a letter or digit. Words beyond
+#: Latin-1 stay whole, as composing before or after lower case may differ in them.
+_SPLIT = re.compile(rb"((?:[\x00-\x7f]|\xc2[\x80-\xbf]|\xc3[\x80-\xbf])*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([" + re.escape(_PUNCT) + rb"]*)")
 _MADE: dict[str, "WordEncoder"] = {}
 
 
@@ -37,7 +40,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens are matched as they are written; lower case is only for finding words that may hold one.
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         # The byte-level step shows bytes that are no printable Latin-1 characters as the characters from U+0100 on.
         hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
@@ -59,14 +63,14 @@ class WordEncoder:
         known = self.words
         if len(known) + 3 * len(new) > REMEMBER:
             known.clear()
-        # A word without an apostrophe splits before its closing punctuation, and case does not matter to this vocabulary.
-        parts, odd, need = [], [], set()
+        # A word of _SPLIT without an apostrophe or added token splits before its closing punctuation, and its case does not matter.
+        parts, odd, need, added = [], [], set(), self.added
         for w in new:
-            if b"'" in w:
+            m = None if b"'" in w else _SPLIT.fullmatch(w)
+            if m is None or any(t in w.lower() for t in added):
                 odd.append(w)
                 continue
-            core = w.rstrip(_PUNCT)
-            parts.append((w, low := core.lower(), tail := w[len(core) :]))
+            parts.append((w, low := m[1].lower(), tail := m[2]))
             need.add(low)
             need.add(tail)
         known.update(self._encode([w for w in need if w not in known] + odd))
