@@ -6,6 +6,7 @@ import random
 import zipfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.operators import clustering, health, ranking, slate, warehouse
@@ -50,6 +51,29 @@ def test_greedy_clusters_match_one_walk(spark):
     assert len({x[1] for x in got}) < 40
 
 
+def test_components_of_long_chains(spark):
+    turned = [0, *range(99, 0, -1)]  # the least id far from the next
+    for order in (list(range(100)), turned):
+        edges = spark.createDataFrame(list(zip(order, order[1:])), "candidate_id long, neighbour_id long")
+        got = clustering.components(edges, spark.range(101).withColumnRenamed("id", "candidate_id")).collect()
+        assert {(r.candidate_id, r.component) for r in got} == {(i, 0) for i in range(100)} | {(100, 100)}
+    with pytest.raises(RuntimeError):
+        clustering.components(edges, spark.range(101).withColumnRenamed("id", "candidate_id"), most_rounds=1)
+
+
+def test_ingest_batch_of_a_long_chain(spark):
+    rows = [(2 * i + k, f"u{i + k:03}", 1, f"i{i:03}", f"h{(37 * (2 * i + k)) % 211:03}") for i in range(100) for k in (0, 1)]
+    schema = "candidate_id long, normalized_url string, provider long, provider_item_id string, normalized_headline string"
+    got = {r.candidate_id for r in warehouse.ingest_batch(spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)).filter("inserted").collect()}
+    urls, items, want = set(), set(), set()
+    for i, url, _, item, _ in sorted(rows, key=lambda r: (r[4], r[1], r[0])):
+        if url not in urls and item not in items:
+            want.add(i)
+            urls.add(url)
+            items.add(item)
+    assert got == want
+
+
 def test_merge_chain_and_moves(spark):
     m = spark.createDataFrame([(1, 1, "seed"), (2, 2, "seed"), (3, 3, "seed")], "candidate_id long, cluster_id long, method string")
     merges = spark.createDataFrame([(1, 2), (2, 3)], "from_id long, into_id long")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.operators.clustering import components
+
 
 def first_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row a key, the first in order, and ``copies``: how many rows had it. A key's rows are reduced before they are shuffled."""
@@ -23,8 +25,7 @@ def ingest_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds ``inserted`` to a batch of (candidate_id, normalized_url, provider, provider_item_id, normalized_headline).
 
     A row is inserted unless a stored or an earlier inserted row of the batch (by headline, then URL) has its URL or its
-    (provider, item). The two keys interact, so rows are first joined into components of shared keys (two rounds suffice for the
-    usual chains; see ``_grouped``) and each component is walked in order; rows without a second key never leave the JVM.
+    (provider, item). The two keys interact, so rows are first joined into components of shared keys (see ``_grouped``) and each component is walked in order; rows without a second key never leave the JVM.
     """
     item = F.when(F.col("provider_item_id").isNotNull(), F.concat_ws("\x01", F.col("provider").cast("string"), "provider_item_id"))
     known_url = stored.select(F.col("normalized_url").alias("__url")).distinct()
@@ -60,20 +61,12 @@ def ingest_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return free.unionByName(grouped.groupBy("component").applyInPandas(walk, out_schema))
 
 
-def _grouped(tied: DataFrame, rounds: int = 20) -> DataFrame:
+def _grouped(tied: DataFrame) -> DataFrame:
     """Adds ``component``: the smallest URL reachable over shared URLs and items (only rows whose keys do interact come here)."""
-    edges = tied.select("normalized_url", F.coalesce("__item", F.concat(F.lit("\x02"), "normalized_url")).alias("__i")).distinct()
-    label = edges.select("normalized_url", "__i", F.col("normalized_url").alias("component"))
-    for _ in range(rounds):
-        by_item = label.groupBy("__i").agg(F.min("component").alias("c1"))
-        by_url = label.join(by_item, "__i").groupBy("normalized_url").agg(F.min("c1").alias("c2"))
-        following = label.drop("component").join(by_url, "normalized_url").withColumnRenamed("c2", "component").checkpoint()
-        moved = following.join(label.withColumnRenamed("component", "was"), ["normalized_url", "__i"]).filter("was <> component")
-        done = moved.isEmpty()
-        label = following
-        if done:
-            break
-    return tied.join(label.select("normalized_url", "component").distinct(), "normalized_url")
+    root = tied.filter("__item is not null").groupBy("__item").agg(F.min("normalized_url").alias("neighbour_id"))
+    edges = tied.join(root, "__item").select(F.col("normalized_url").alias("candidate_id"), "neighbour_id").filter("candidate_id <> neighbour_id")
+    label = components(edges, tied.select(F.col("normalized_url").alias("candidate_id")).distinct())
+    return tied.join(label.withColumnRenamed("candidate_id", "normalized_url"), "normalized_url")
 
 
 def headline_groups(candidates: DataFrame) -> DataFrame:
