@@ -188,3 +188,13 @@ def test_ingest_unit_is_idempotent(spark):
     assert (n.returned, n.inserted, n.duplicates, n.rejected, n.unit_skipped) == (3, 2, 1, 2, False)
     again = unit.ingest_unit(batch, refused, stored, sources, units, "k0", "run").counters.first()
     assert (again.returned, again.rejected, again.unit_skipped) == (0, 0, True)
+
+
+def test_quarter_hour_counts_whole_reads_every_event(spark, tmp_path):
+    from tickerloom.plans import queries as plans
+
+    at = dt.datetime(2024, 1, 1, 10)
+    rows = [(1, 7, "click", at), (5000, 7, "click", at + dt.timedelta(minutes=20)), (5001, 8, "click", at + dt.timedelta(minutes=20)), (90000, 7, "click", at + dt.timedelta(hours=1))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(r.n for r in plans.queries()["quarter_hour_counts_whole"](spark, str(tmp_path)).collect())
+    assert got == [1, 1, 1]
