@@ -198,3 +198,15 @@ def test_quarter_hour_counts_whole_reads_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(r.n for r in plans.queries()["quarter_hour_counts_whole"](spark, str(tmp_path)).collect())
     assert got == [1, 1, 1]
+
+
+def test_neighbours_by_all_routes(spark):
+    start = dt.datetime(2024, 1, 1)
+    beat, trade, far = "Lakers beat Celtics 110-102", "Lakers trade star guard", "Veteran coach of the Lakers explains yesterday's surprising lineup decision"
+    rows = [(0, beat, "basketball", 0), (1, beat, "basketball", 13), (2, beat, "basketball", 47), (3, trade, "basketball", 23), (4, far, "basketball", 23), (5, beat, "golf", 1), (6, far, "golf", 1), (7, beat, "basketball", 49)]
+    c = spark.createDataFrame([(i, h, s, start + dt.timedelta(hours=at)) for i, h, s, at in rows], "candidate_id long, headline string, sport string, fresh_at timestamp")
+    found = {(r.candidate_id, r.neighbour_id): r for r in clustering.neighbour_edges(c).collect()}
+    assert {(0, 1), (1, 0), (0, 2), (0, 3), (0, 4), (4, 0), (0, 5)} <= set(found) and not {(0, 6), (0, 7), (7, 0)} & set(found)
+    assert found[0, 4].similarity < 0.3 and found[0, 4].shared_teams and not found[0, 4].exact
+    assert [x.code for x in found[0, 3].contradictions][:1] == ["outside-time-window"]
+    assert [x.code for x in found[0, 5].contradictions][:1] == ["sport-mismatch"]

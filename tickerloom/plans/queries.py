@@ -389,26 +389,13 @@ def _synthetic(t) -> DataFrame:
     return _cand(t).select("candidate_id", _synthetic_headline(F.col("candidate_id")).alias("headline"), "headline_kind", F.lit("basketball").alias("sport"), "fresh_at")
 
 
-def _edges(t, hours: int = 12) -> DataFrame:
-    """Scored neighbours: ids meet in the interval join, words are compared and features computed once for each distinct headline."""
-    c = _synthetic(t)
-    side = lambda i, at, h: c.select("sport", F.col("candidate_id").alias(i), F.col("fresh_at").alias(at), F.col("headline").alias(h))
-    near = joins.interval_pairs(side("candidate_id", "at_a", "headline_a"), side("neighbour_id", "at_b", "headline_b"), "sport", "at_a", "at_b", hours * 3600)
-    distinct = c.select("headline").distinct()
-    words = joins.trigram_pairs(distinct.withColumn("id", F.col("headline")), "id", "headline", fixed.SEARCH_FLOOR)
-    words = words.union(words.select("id_b", "id_a", "similarity")).union(distinct.select("headline", F.col("headline"), F.lit(1.0)))
-    words = words.toDF("headline_a", "headline_b", "similarity").withColumn("word_similarity", text.word_similarity("headline_a", "headline_b"))
-    features = classify.with_features(distinct)
-    pairs = near.filter("candidate_id <> neighbour_id").join(words, ["headline_a", "headline_b"])
-    pairs = pairs.join(features.toDF("headline_a", "a"), "headline_a").join(features.toDF("headline_b", "b"), "headline_b")
-    none = F.lit(None).cast("string")
-    pairs = pairs.withColumns({"hours": F.abs(times.hours_between(F.col("at_a"), F.col("at_b"))), "sport_a": F.col("sport"), "sport_b": F.col("sport"), "league_a": none, "league_b": none, "exact": F.col("headline_a") == F.col("headline_b")})
-    return clustering.score_pairs(pairs)
+def _edges(t) -> DataFrame:
+    return clustering.neighbour_edges(_synthetic(t))
 
 
 @query()
 def pair_scores(t):
-    """Evidence of every pair of reports within 12 hours and above the similarity floor (tests check it against a plain version)."""
+    """Evidence of every pair of reports within the search window with equal headlines, similarity from the floor on or a common team (tests check it against a plain version)."""
     return _edges(t).filter("candidate_id < neighbour_id").select("candidate_id", "neighbour_id", "agreement", F.transform("contradictions", lambda c: c["code"]).alias("contradictions"), "score", "confidence", "route")
 
 
