@@ -1,8 +1,10 @@
 """Order-dependent operators against plain sequential versions; sources; streams."""
 
 import datetime as dt
+import hashlib
 import io
 import random
+import re
 import zipfile
 
 import pandas as pd
@@ -61,6 +63,33 @@ def test_components_of_long_chains(spark):
         clustering.components(edges, spark.range(101).withColumnRenamed("id", "candidate_id"), most_rounds=1)
 
 
+def test_rows_without_item_never_meet(spark):
+    schema = "candidate_id long, normalized_url string, provider long, provider_item_id string, normalized_headline string"
+    rows = spark.createDataFrame([(i, f"u{i % 40}", 1, None, "") for i in range(60)], schema)
+    out = warehouse.ingest_batch(rows, spark.createDataFrame([(900, "u1", 1, "i2", "h0")], schema))
+    assert "windowspecdefinition(__item" not in out._jdf.queryExecution().analyzed().toString()
+    assert {r.candidate_id for r in out.filter("inserted").collect()} == set(range(40)) - {1}
+
+
+def test_ingest_batch_items_matches_a_loop(spark):
+    from tickerloom.plans import queries as plans
+
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    pages = plans._normalized_pages(read).filter("normalized is not null").collect()
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    item = lambda r: md5(re.sub(r"^[a-z]+://[^/]+", "", r.normalized)) if r.page_id % 5 else None
+    old = [r for r in pages if r.page_id % 3 == 0]
+    urls, items, want, by_item = {r.normalized for r in old}, {item(r) for r in old} - {None}, set(), 0
+    for r in sorted((r for r in pages if r.page_id % 3), key=lambda r: (md5(f"h{r.page_id}"), r.normalized, r.page_id)):
+        by_item += r.normalized not in urls and item(r) in items
+        if r.normalized not in urls and item(r) not in items:
+            want.add(r.page_id)
+            urls.add(r.normalized)
+            items |= {item(r)} - {None}
+    assert {r.candidate_id for r in plans.queries()["ingest_batch_items"](spark, "/root/testdata/sf0.001").filter("inserted").collect()} == want
+    assert by_item
+
+
 def test_ingest_batch_of_a_long_chain(spark):
     rows = [(2 * i + k, f"u{i + k:03}", 1, f"i{i:03}", f"h{(37 * (2 * i + k)) % 211:03}") for i in range(100) for k in (0, 1)]
     schema = "candidate_id long, normalized_url string, provider long, provider_item_id string, normalized_headline string"

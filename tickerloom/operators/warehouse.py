@@ -32,12 +32,14 @@ def ingest_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
     known_item = stored.select(item.alias("__item")).filter("__item is not null").distinct()
     rows = batch.withColumn("__item", item)
     rows = rows.join(known_url.withColumn("__known_url", F.lit(True)), rows["normalized_url"] == F.col("__url"), "left").drop("__url")
-    rows = rows.join(known_item.withColumn("__known_item", F.lit(True)), "__item", "left")
+    # Rows without an item all share the null key: they stay out of the join by item.
+    found = rows.filter("__item is not null").join(known_item.withColumn("__known_item", F.lit(True)), "__item", "left")
+    rows = found.unionByName(rows.filter("__item is null").withColumn("__known_item", F.lit(None).cast("boolean")))
     rows = rows.withColumn("__stored", F.col("__known_url").isNotNull() | F.col("__known_item").isNotNull()).drop("__known_url", "__known_item")
     order = [F.col("normalized_headline"), F.col("normalized_url"), F.col("candidate_id")]
-    urls_of_item = F.size(F.collect_set("normalized_url").over(Window.partitionBy("__item")))
-    rows = rows.withColumn("__tied", F.col("__item").isNotNull() & (urls_of_item > 1))
-    rows = rows.withColumn("__tied", F.max("__tied").over(Window.partitionBy("normalized_url")))
+    items = rows.filter("__item is not null").groupBy("__item").agg((F.min("normalized_url") < F.max("normalized_url")).alias("__shared")).filter("__shared").select("__item")
+    urls = rows.join(items, "__item", "left_semi").select(F.col("normalized_url").alias("__url"), F.lit(True).alias("__tied")).distinct()
+    rows = rows.join(urls, rows["normalized_url"] == F.col("__url"), "left").withColumn("__tied", F.col("__tied").isNotNull()).drop("__url")
     free, tied = rows.filter(~F.col("__tied")), rows.filter("__tied")
     first = F.row_number().over(Window.partitionBy("normalized_url").orderBy(F.col("__stored").asc(), *order)) == 1
     free = free.withColumn("inserted", ~F.col("__stored") & first).drop("__item", "__stored", "__tied")

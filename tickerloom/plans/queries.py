@@ -856,3 +856,15 @@ def ingest_batch(t):
         F.col("page_id").alias("candidate_id"), F.col("normalized").alias("normalized_url"), F.lit(1).alias("provider"), F.lit(None).cast("string").alias("provider_item_id"), F.lit("").alias("normalized_headline")
     )
     return warehouse.ingest_batch(p.filter("candidate_id % 3 <> 0"), p.filter("candidate_id % 3 = 0")).select("candidate_id", "inserted")
+
+
+@query()
+def ingest_batch_items(t):
+    """ingest_batch with item ids (a hash of the page's path), so that both keys interact; tests compare it with a loop."""
+    path = F.regexp_extract("normalized", r"^[a-z]+://[^/]+(.*)$", 1)
+    p = _normalized_pages(t).filter("normalized is not null").select(
+        F.col("page_id").alias("candidate_id"), F.col("normalized").alias("normalized_url"), F.lit(1).alias("provider"),
+        F.when(F.col("page_id") % 5 != 0, F.md5(path)).alias("provider_item_id"), F.md5(F.concat(F.lit("h"), F.col("page_id").cast("string"))).alias("normalized_headline"),
+    )
+    stored = p.filter("candidate_id % 3 = 0")
+    return warehouse.ingest_batch(p.filter("candidate_id % 3 <> 0"), stored).select("candidate_id", "inserted")
