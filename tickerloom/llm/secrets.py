@@ -26,8 +26,6 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _SAFE_TO_STANDARD = str.maketrans("-_", "+/")
 #: Decompressed text is scanned in blocks of so many bytes, which overlap by OVERLAP.
 BLOCK, OVERLAP = 8 << 20, 1 << 16
-#: Decoded characters a document may lead to; beyond that (a decompression bomb) its row says complete = false.
-MOST_DECODED = 256 << 20
 
 _ROW = "doc_id long, secrets array<struct<kind: string, start: long, end: long, layers: string, value: string>>, complete boolean"
 
@@ -42,15 +40,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class _Layer:
-    """Decoded text; a[i] and b[i] are the span of the document that its character i came from."""
+    """Decoded text; a[i] and b[i] are the span of the document that its character i came from. ``whole``: the one span of all characters."""
 
-    __slots__ = ("text", "a", "b", "path")
+    __slots__ = ("text", "a", "b", "path", "whole")
 
-    def __init__(self, text: str, a: np.ndarray | None, b: np.ndarray | None, path: str):
-        self.text, self.a, self.b, self.path = text, a, b, path
+    def __init__(self, text: str, a: np.ndarray | None, b: np.ndarray | None, path: str, whole: tuple[int, int] | None = None):
+        self.text, self.a, self.b, self.path, self.whole = text, a, b, path, whole
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.a is None else (int(self.a[start:end].min()), int(self.b[start:end].max()))
+        return self.whole or ((start, end) if self.a is None else (int(self.a[start:end].min()), int(self.b[start:end].max())))
 
     def part(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         return (np.arange(start, end), np.arange(start + 1, end + 1)) if self.a is None else (self.a[start:end], self.b[start:end])
@@ -64,14 +62,19 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode, name: str) -> _Layer
         if new is None:
             continue
         changed = True
+        parts += [layer.text[at : m.start()], new]
+        if layer.whole:
+            at = m.end()
+            continue
         a, b = layer.part(at, m.start())
         first, last = layer.span(m.start(), m.end())
-        parts += [layer.text[at : m.start()], new]
         starts += [a, np.full(len(new), first)]
         ends += [b, np.full(len(new), last)]
         at = m.end()
     if not changed:
         return None
+    if layer.whole:
+        return _Layer("".join([*parts, layer.text[at:]]), None, None, f"{layer.path}{name}>", layer.whole)
     a, b = layer.part(at, len(layer.text))
     return _Layer("".join([*parts, layer.text[at:]]), np.concatenate([*starts, a]), np.concatenate([*ends, b]), f"{layer.path}{name}>")
 
@@ -111,12 +114,15 @@ def _base64(layer: _Layer) -> Iterator[_Layer]:
         if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
             for block in _inflated(raw):
                 text = block.decode("utf-8", "replace")
-                yield _Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]), f"{layer.path}base64>compressed>")
+                yield _Layer(text, None, None, f"{layer.path}base64>compressed>", whole)
             continue
         try:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
+        if layer.whole:
+            yield _Layer(text, None, None, f"{layer.path}base64>", layer.whole)
+            continue
         size = np.array([len(c.encode()) for c in text]) if not text.isascii() else np.ones(len(text), np.int64)
         last = np.cumsum(size)  # bytes up to and with each character
         from_char, to_char = (last - size) * 8 // 6, np.minimum((last * 8 + 5) // 6, m.end() - m.start())
@@ -124,38 +130,51 @@ def _base64(layer: _Layer) -> Iterator[_Layer]:
         yield _Layer(text, a[from_char], b[to_char - 1], f"{layer.path}base64>")
 
 
+def _children(layer: _Layer) -> Iterator[_Layer | None]:
+    """What a layer unwraps to, made one at a time; the layer itself is let go before the last of them is entered."""
+    yield from _base64(layer)
+    url = _URL.search(layer.text) is not None
+    if "\\" in layer.text or "&#" in layer.text:
+        child = _rewritten(layer, _UNICODE, _unicode, "unicode")
+        if not url:
+            del layer
+        yield child
+        child = None
+    if url:
+        child = _rewritten(layer, _URL, _url, "url")
+        del layer
+        yield child
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, str, str, str]], bool]:
-    """All secrets of a text as (start, end, kind, layers, value), and whether every layer was scanned.
+    """All secrets of a text as (start, end, kind, layers, value), and whether every layer was scanned (always true).
 
-    A worklist holds layers yet to scan. Each is searched, then unwrapped in every way that changes it; a layer whose text was
-    seen before (in the same place) is not entered again, so cycles end. A span found in several layers is reported once,
-    by the outermost of them.
+    Depth first: a layer is searched when it is made, then unwrapped in every way that changes it and let go, so only the layers
+    above the current one are held, and a digest of each. A layer whose text was seen before (in the same place, as far out) is not
+    entered again, so cycles end. A span found in several layers is reported once, by the outermost of them.
     """
-    found: dict[tuple[str, int, int], tuple[str, str]] = {}
-    work, seen, decoded = [_Layer(text, None, None, "")], set(), 0
-    while work:
-        following: list[_Layer] = []
-        for layer in work:
-            for start, end, kind in base_spans(layer.text):
-                found.setdefault((kind, *layer.span(start, end)), (layer.path, layer.text[start:end]))
-            children = []
-            if "%" in layer.text:
-                children.append(_rewritten(layer, _URL, _url, "url"))
-            if "\\" in layer.text or "&#" in layer.text:
-                children.append(_rewritten(layer, _UNICODE, _unicode, "unicode"))
-            for child in (*children, *_base64(layer)):
-                if child is None or not child.text:
-                    continue
-                key = hashlib.blake2b(child.text.encode("utf-8", "replace") + b"|%d,%d" % child.span(0, len(child.text)), digest_size=16).digest()
-                if key in seen:
-                    continue
-                seen.add(key)
-                decoded += len(child.text)
-                if decoded > MOST_DECODED:
-                    return _ordered(found), False
-                following.append(child)
-        work = following
-    return _ordered(found), True
+    found: dict[tuple[str, int, int], tuple[int, str, str]] = {}
+    seen: dict[bytes, int] = {}
+    stack: list[Iterator[_Layer | None]] = [iter([_Layer(text, None, None, "")])]
+    while stack:
+        layer = next(stack[-1], stack)
+        if layer is stack:
+            stack.pop()
+            continue
+        if layer is None or not layer.text:
+            continue
+        depth = layer.path.count(">")
+        key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + b"|%d,%d" % layer.span(0, len(layer.text)), digest_size=16).digest()
+        if seen.get(key, depth + 1) <= depth:
+            continue
+        seen[key] = depth
+        for start, end, kind in base_spans(layer.text):
+            at = (kind, *layer.span(start, end))
+            if at not in found or found[at][0] > depth:
+                found[at] = (depth, layer.path, layer.text[start:end])
+        stack.append(_children(layer))
+        del layer
+    return _ordered({k: v[1:] for k, v in found.items()}), True
 
 
 def _ordered(found: dict) -> list[tuple[int, int, str, str, str]]:
