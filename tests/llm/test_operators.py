@@ -437,6 +437,38 @@ def test_secret_beside_a_large_blob():
     assert complete and {(0, len(text) - len(secret) - 1), (len(text) - len(secret), len(text.rstrip("=")))} <= {(s, e) for s, e, kind, _, _ in found if kind == "assign"}
 
 
+def test_secrets_in_nested_and_broken_layers():
+    from urllib.parse import quote
+
+    secret = b"password=hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x).decode()
+    rng = random.Random(4)
+    long = base64.b64encode(bytes(rng.randrange(32, 127) for _ in range(60_000)) + b" " + secret + b" " + bytes(rng.randrange(32, 127) for _ in range(60_000)))
+    fill = secrets.BLOCK - 70_000
+    lines = "\n".join(re.findall(".{1,76}", b64(b"x" * 50 + secret + b" " * 50)))
+    cases = {
+        "gzip in gzip": b64(gzip.compress(gzip.compress(secret))),
+        "zlib in gzip": b64(gzip.compress(zlib.compress(secret))),
+        "members": b64(gzip.compress(b"nothing") + gzip.compress(secret)),
+        "three members": b64(gzip.compress(b"") + zlib.compress(b"a") + gzip.compress(secret)),
+        "looks packed": b64(b"x^2 " + secret),
+        "percent": quote(gzip.compress(secret)),
+        "percent zlib": quote(zlib.compress(secret)),
+        "over a block": b64(zlib.compress(b"a, " * (fill // 3) + b"," + long + b"," + b"a, " * 50_000)),
+        "behind a path": "path/to/" + b64(secret),
+        "behind a dash": "some-name-" + b64(secret),
+        "behind an underscore": "a_" + b64(secret),
+        "packed behind a path": "a/bc/" + b64(gzip.compress(secret)),
+        "zlib behind a path": "some/path/" + b64(zlib.compress(secret)),
+        "lines": lines,
+        "packed lines": "\r\n".join(re.findall(".{1,76}", b64(gzip.compress(bytes(rng.randrange(256) for _ in range(200)) + secret + b" ")))),
+    }
+    for name, text in cases.items():
+        found, complete = secrets.scan("é " + text + " end")
+        hits = [(s, e) for s, e, kind, _, v in found if kind == "assign" and v.startswith("password=hunter2hunter2")]
+        assert complete and hits and all(2 <= s < e <= 2 + len(text) for s, e in hits), name
+
+
 def test_secret_under_many_layers():
     found, complete = secrets.scan("%" + "25" * 2000 + "70assword=hunter2hunter2")
     assert complete and any(v == "password=hunter2hunter2" for _, _, _, _, v in found)

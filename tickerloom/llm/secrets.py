@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import re
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,15 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _SAFE_TO_STANDARD = str.maketrans("-_", "+/")
-#: Decompressed text is scanned in blocks of so many bytes, which overlap by OVERLAP.
+#: Lines of base64 under one another.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,}+)*\r?\n[ \t]*[A-Za-z0-9+/_-]++={0,2}")
+#: Where compressed bytes may start in base64: a gzip header anywhere, a zlib header at a start or after a separator.
+_PACKED = re.compile(r"H4sI|(?<![A-Za-z0-9])[CGKOSWae][A-Za-z0-9+/_-]")
+#: A percent-encoded gzip or zlib stream; what needs no escape may stand as it is.
+_URL_PACKED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd][Aa]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+^-])*")
+#: No run of base64, of a value or of an escape goes over such a byte.
+_BREAK = re.compile(rb"[^A-Za-z0-9+/_=.%\\&#;{}\s-]")
+#: Decompressed text is scanned in blocks of so many bytes or more, which overlap by OVERLAP or more and hold whole runs.
 BLOCK, OVERLAP = 8 << 20, 1 << 16
 
 _ROW = "doc_id long, secrets array<struct<kind: string, start: long, end: long, layers: string, value: string>>, complete boolean"
@@ -88,51 +98,150 @@ def _unicode(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """Blocks of a gzip or zlib stream, overlapping; what precedes a fault still counts."""
-    stream, rest, tail = zlib.decompressobj(zlib.MAX_WBITS | 32), raw, b""
-    while not stream.eof:
-        try:
-            block = stream.decompress(rest, BLOCK)
-        except zlib.error:
+def _packed(raw: bytes) -> bool:
+    """Whether bytes start as gzip or as zlib (any window and level)."""
+    return raw[:3] == b"\x1f\x8b\x08" or (len(raw) > 1 and raw[0] & 15 == 8 and raw[0] < 128 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces of concatenated gzip or zlib streams; what precedes a fault still counts, and what follows the last stream comes as it is."""
+    stream, rest = zlib.decompressobj(zlib.MAX_WBITS | 32), b""
+    for chunk in chunks:
+        rest += chunk
+        while rest:
+            try:
+                block = stream.decompress(rest, BLOCK)
+            except zlib.error:
+                return
+            if block:
+                yield block
+            rest = stream.unconsumed_tail
+            if stream.eof:
+                rest = stream.unused_data
+                while rest and not _packed(rest):
+                    if len(rest) < 3 and (more := next(chunks, b"")):
+                        rest += more
+                        continue
+                    yield rest
+                    yield from chunks
+                    return
+                stream = zlib.decompressobj(zlib.MAX_WBITS | 32)
+        while not stream.eof:  # what is made from input taken in before
+            try:
+                block = stream.decompress(b"", BLOCK)
+            except zlib.error:
+                return
+            if not block:
+                break
+            yield block
+
+
+def _unpacked(chunks: Iterator[bytes], path: str, whole: tuple[int, int], above: frozenset = frozenset()) -> Iterator[_Layer]:
+    """Layers of a compressed stream. A stream in it is unwrapped before anything is read as text, unless it unwraps to itself."""
+    pieces = _inflated(chunks)
+    first = b""
+    while len(first) < 3 and (piece := next(pieces, b"")):
+        first += piece
+    if not first:
+        return
+    path += "compressed>"
+    digest = hashlib.blake2b(first, digest_size=16).digest()
+    if _packed(first) and digest not in above:
+        test = next(_inflated(iter([first])), None)  # nothing: text that only looks like a stream
+        if test is not None:
+            yield from _unpacked(itertools.chain([first], pieces), path, whole, above | {digest})
             return
-        if not block:
-            return
-        yield tail + block
-        tail, rest = block[-OVERLAP:], stream.unconsumed_tail
+    held, size = [first], len(first)
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size < BLOCK:
+            continue
+        block = b"".join(held)
+        cut = _last_break(block)
+        held, size = [block], 0
+        if cut is not None:
+            yield _Layer(block.decode("utf-8", "replace"), None, None, path, whole)
+            held = [block[cut:]]
+    yield _Layer(b"".join(held).decode("utf-8", "replace"), None, None, path, whole)
+
+
+def _last_break(block: bytes) -> int | None:
+    """Where the last run that ends OVERLAP bytes before the end or later starts; none if that is the whole block."""
+    end = len(block) - OVERLAP
+    while end > 0:
+        begin = max(0, end - OVERLAP)
+        found = [m.end() for m in _BREAK.finditer(block, begin, end)]
+        if found:
+            return found[-1]
+        end = begin
+    return None
 
 
 def _base64(layer: _Layer) -> Iterator[_Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate(_SAFE_TO_STANDARD)
-        run = run[:-1] if len(run) % 4 == 1 else run
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        whole = layer.span(m.start(), m.end())
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
-            for block in _inflated(raw):
-                text = block.decode("utf-8", "replace")
-                yield _Layer(text, None, None, f"{layer.path}base64>compressed>", whole)
-            continue
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if layer.whole:
-            yield _Layer(text, None, None, f"{layer.path}base64>", layer.whole)
-            continue
+    """Each run at all four alignments, so a payload behind a path or a separator is read as it was written; runs over lines joined."""
+    for pattern in (_BASE64, _LINES):
+        for m in pattern.finditer(layer.text):
+            at = None
+            run = m[0].rstrip("=")
+            if pattern is _LINES:
+                at = np.array([m.start() + i for i, c in enumerate(run) if not c.isspace()])
+                run = "".join(run.split())
+            place = lambda i, j: (m.start() + i, m.start() + j) if at is None else (int(at[i]), int(at[j - 1]) + 1)  # noqa: B023, E731
+            standard = run.translate(_SAFE_TO_STANDARD)
+            for k in range(4):
+                yield from _text(layer, _bytes(standard[k:]), k, len(run), at, m.start())
+            starts = {0} | {x.start() for x in _PACKED.finditer(run)}
+            if at is not None:
+                starts |= {0, *(np.flatnonzero(np.diff(at) > 1) + 1).tolist()}
+            for k in sorted(starts):
+                if _packed(_bytes(standard[k : k + 8])):
+                    first, last = place(k, len(run))
+                    yield from _unpacked(iter([_bytes(standard[k:])]), f"{layer.path}base64>", layer.span(m.start() if k == 0 else first, m.end() if k == 0 else last))
+
+
+def _bytes(run: str) -> bytes:
+    run = run[:-1] if len(run) % 4 == 1 else run
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4))
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def _text(layer: _Layer, raw: bytes, k: int, end: int, at: np.ndarray | None, start: int) -> Iterator[_Layer]:
+    """Decoded bytes as text, UTF-8 or else a character a byte, mapped to the characters that hold them."""
+    if not raw:
+        return
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        text = raw.decode("latin-1")
+        size = np.ones(len(text), np.int64)
+    else:
         size = np.array([len(c.encode()) for c in text]) if not text.isascii() else np.ones(len(text), np.int64)
-        last = np.cumsum(size)  # bytes up to and with each character
-        from_char, to_char = (last - size) * 8 // 6, np.minimum((last * 8 + 5) // 6, m.end() - m.start())
-        a, b = layer.part(m.start(), m.end())
-        yield _Layer(text, a[from_char], b[to_char - 1], f"{layer.path}base64>")
+    if layer.whole:
+        yield _Layer(text, None, None, f"{layer.path}base64>", layer.whole)
+        return
+    last = np.cumsum(size)  # bytes up to and with each character
+    from_char, to_char = k + (last - size) * 8 // 6, np.minimum(k + (last * 8 + 5) // 6, end)
+    if at is None:
+        a, b = layer.part(start, start + end)
+    else:
+        a, b = (at, at + 1) if layer.a is None else (layer.a[at], layer.b[at])
+    yield _Layer(text, a[from_char], b[to_char - 1], f"{layer.path}base64>")
+
+
+def _url_packed(layer: _Layer) -> Iterator[_Layer]:
+    for m in _URL_PACKED.finditer(layer.text):
+        raw = urllib.parse.unquote_to_bytes(m[0])
+        if _packed(raw):
+            yield from _unpacked(iter([raw]), f"{layer.path}url>", layer.span(m.start(), m.end()))
 
 
 def _children(layer: _Layer) -> Iterator[_Layer | None]:
     """What a layer unwraps to, made one at a time; the layer itself is let go before the last of them is entered."""
     yield from _base64(layer)
+    yield from _url_packed(layer)
     url = _URL.search(layer.text) is not None
     if "\\" in layer.text or "&#" in layer.text:
         child = _rewritten(layer, _UNICODE, _unicode, "unicode")
