@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (only if that is unset) a temporary one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset: on a single machine a temporary folder,
+    on a cluster one in the warehouse."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="tickerloom-")
+        single = spark.sparkContext.master.startswith("local")
+        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="tickerloom-") if single else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{app}"
         spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
     return _OWN_DIR[app]
 
@@ -33,7 +37,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs a re-read only."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(back)] = (weakref.ref(back), path)
+    return back
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these, once their last reader is done."""
+    for df in written:
+        ref, path = _WRITTEN.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -8,16 +8,22 @@ library only for new ones. ``tests/llm`` compares this with encoding whole texts
 from __future__ import annotations
 
 import re
+import string
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 END_ID = 1
 #: Words remembered by a worker; beyond it the table starts anew, which costs time only.
 REMEMBER = 600_000
+#: Bytes of texts encoded at once, words looked up together, and bytes of a text that are split into words at once.
+GROUP_BYTES, GROUP_WORDS, PIECE = 1 << 21, 40_000, 1 << 18
+_WHITE = re.compile(rb"[ \t-\r]")
 #: Words of a-z and the small letters of Latin-1: the normalizer leaves them as they are and the pre-tokenizer whole.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 _PUNCT = b".,|!$%&*#;:?"
+_LETTERS = string.ascii_letters.encode()
 #: A run of symbols is one piece, so closing punctuation is a piece of its own only after a letter or digit. Words beyond
 #: Latin-1 stay whole, as composing before or after lower case may differ in them.
 _SPLIT = re.compile(rb"((?:[\x00-\x7f]|\xc2[\x80-\xbf]|\xc3[\x80-\xbf])*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([" + re.escape(_PUNCT) + rb"]*)")
@@ -40,8 +46,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Added tokens are matched as they are written; lower case is only for finding words that may hold one.
-        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Added tokens are matched as they are written; words with what all of them start with (in any case) may hold one.
+        added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(added) if added else b"\xff"
+        self.quick = bool(self.mark.strip(_LETTERS + _PUNCT))  # then no word of letters and closing punctuation holds one
         self.words: dict[bytes, bytes] = {}
         # The byte-level step shows bytes that are no printable Latin-1 characters as the characters from U+0100 on.
         hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
@@ -60,17 +68,19 @@ class WordEncoder:
         return out
 
     def _learn(self, new: set[bytes]) -> None:
-        known = self.words
-        if len(known) + 3 * len(new) > REMEMBER:
-            known.clear()
-        # A word of _SPLIT without an apostrophe or added token splits before its closing punctuation, and its case does not matter.
-        parts, odd, need, added = [], [], set(), self.added
+        known, parts, odd, need, mark, quick = self.words, [], [], set(), self.mark, self.quick
         for w in new:
-            m = None if b"'" in w else _SPLIT.fullmatch(w)
-            if m is None or any(t in w.lower() for t in added):
-                odd.append(w)
-                continue
-            parts.append((w, low := m[1].lower(), tail := m[2]))
+            low = w.rstrip(_PUNCT)
+            if quick and low.isalpha():  # ASCII letters and closing punctuation: the usual case, without a pattern
+                low, tail = low.lower(), w[len(low) :]
+            else:
+                # A word of _SPLIT without an apostrophe or added token splits before its closing punctuation, and its case does not matter.
+                m = None if b"'" in w else _SPLIT.fullmatch(w)
+                if m is None or mark in w.lower():
+                    odd.append(w)
+                    continue
+                low, tail = m[1].lower(), m[2]
+            parts.append((w, low, tail))
             need.add(low)
             need.add(tail)
         known.update(self._encode([w for w in need if w not in known] + odd))
@@ -79,18 +89,56 @@ class WordEncoder:
 
     def ids(self, text: bytes) -> np.ndarray:
         """The ids of a whole text, little-endian unsigned 16-bit."""
-        words = text.split()
-        if len(words) <= REMEMBER // 8:
-            return np.frombuffer(b"".join(self._known(words)), "<u2")
-        step = REMEMBER // 8  # a slice's new words always fit in the table
-        return np.concatenate([np.frombuffer(b"".join(self._known(words[i : i + step])), "<u2") for i in range(0, len(words), step)])
-
-    def _known(self, words: list[bytes]) -> list[bytes]:
-        found = list(map(self.words.get, words))
-        if None in found:
-            self._learn({w for w, ids in zip(words, found) if ids is None})
-            found = [self.words[w] if ids is None else ids for w, ids in zip(words, found)]
-        return found
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of whole texts. New words are learned for many texts at once; a long text goes piece by piece."""
+        made: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[list[bytes], list[bytes]]] = []
+        held = 0
+        for parts, text in zip(made, texts):
+            for piece in _pieces(text):
+                group.append((parts, words := piece.split()))
+                held += len(words)
+                if held > GROUP_WORDS:
+                    self._append(group)
+                    group, held = [], 0
+        self._append(group)
+        return [np.frombuffer(b"".join(parts), "<u2") for parts in made]
+
+    def each(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; texts of about GROUP_BYTES are encoded at once."""
+        first = held = 0
+        for k, text in enumerate(texts, 1):
+            held += len(text)
+            if held > GROUP_BYTES or k == len(texts):
+                yield from self.ids_of(texts[first:k])
+                first, held = k, 0
+
+    def _append(self, group: list[tuple[list[bytes], list[bytes]]]) -> None:
+        """Encode word lists to the ends of their texts' parts; all words of a group are in the table at once."""
+        distinct = set().union(*[words for _, words in group])
+        new = distinct.difference(self.words)
+        if len(self.words) + 3 * len(new) > REMEMBER:
+            self.words.clear()
+            new = distinct
+        if new:
+            self._learn(new)
+        get = self.words.__getitem__
+        for parts, words in group:
+            parts.append(b"".join(map(get, words)))
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut at white space into pieces of about PIECE bytes (an unbroken run stays whole)."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = _WHITE.search(text, at + PIECE)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 def encoder(path: str) -> WordEncoder:
