@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import doc_batches
+from tickerloom.llm.common import doc_batches, materialize
 from tickerloom.llm.tokens import default_vocabulary, encoder
 
 #: Lengths to a block; suffix sums go over the blocks, then within each.
@@ -19,18 +19,21 @@ BLOCK = 1 << 8
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """n_tokens and n_docs for every encoded length that occurs. Each task counts first: a row for each length and task is shuffled.
 
-    Null or empty text has length 0. Repeated rows count each. Empty table: no rows.
+    The histogram (a row a length) is written down, so that what reads it several times encodes the corpus once. Null or empty text
+    has length 0. Very long texts are encoded piece by piece, never cut. Repeated rows count each, ties do not arise. Empty table: no rows.
+    Other columns are ignored, whatever their names.
     """
     path = vocabulary or default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[int] = Counter()
         for _, texts in doc_batches(batches):
-            found.update(len(encoder(path).ids(t)) for t in texts)
+            found.update(map(len, encoder(path).each(texts)))
         if found:
             yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(found.keys(), pa.int64()), "n": pa.array(found.values(), pa.int64())})
 
-    return docs.select("text").mapInArrow(count, "n_tokens long, n long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    counted = docs.select("text").mapInArrow(count, "n_tokens long, n long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    return materialize(counted, "lengths")
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:
