@@ -10,40 +10,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import doc_batches
+from tickerloom.llm.common import discard, doc_batches, materialize
 from tickerloom.llm.tokens import END_ID, default_vocabulary, encoder
 
 
+#: Tokens of one record batch.
+BATCH_TOKENS = 500_000
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens and ids (with ``end_id``) of each document; null text counts as empty."""
+    """doc_id, n_tokens, ids_crc32 and ids (with ``end_id``) of each document; null text counts as empty."""
     path = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4")
         for batch, texts in doc_batches(batches):
-            doc_ids, parts, held, first = batch.column("doc_id"), [], 0, 0
-            for k, text in enumerate(texts):
-                parts.append(np.append(encoder(path).ids(text).astype(np.int32), np.int32(end_id)))
+            doc_ids, parts, held, first = batch.column("doc_id").cast(pa.int64()), [], 0, 0
+            for k, ids in enumerate(encoder(path).each(texts), 1):
+                parts.append(np.append(ids, end))
                 held += len(parts[-1])
-                if held > 2_000_000 or k + 1 == len(texts):
-                    lengths = np.array([len(p) for p in parts])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(parts)))
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(parts)).cast(pa.int64()), pa.array(lengths, pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
-                    parts, held, first = [], 0, k + 1
+                if held > BATCH_TOKENS or k == len(texts):
+                    ends = np.cumsum([0, *map(len, parts)])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int32)))
+                    sums = pa.array([zlib.crc32(x) for x in parts], pa.int64())
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(parts)), pa.array(np.diff(ends)), sums, lists], ["doc_id", "n_tokens", "ids_crc32", "ids"])
+                    parts, held, first = [], 0, k
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, stripe_mb: int = 32, index_stride: int = 1000) -> None:
-    """Write the ids of all documents to ORC files below ``path`` in ascending doc_id order (null first, then by length and ids).
+    """Write the ids of all documents to ORC files below ``path`` in ascending doc_id order (null first, then by length and checksum).
 
     Files hold ranges of doc_id, rows within them are sorted. ORC codes the ids as integer runs; each stripe has minimum,
     maximum and a Bloom filter of doc_id for every ``index_stride`` rows, so a look-up by id reads few row groups, and
-    readers split files by stripes. The texts are range-partitioned before they are encoded: encoded once, shuffled small.
+    readers split files by stripes. Texts are encoded where they lie and written down once; only ids are shuffled. Ranges go by
+    doc_id, length, checksum and row, so rows without a doc_id, or many of one, are dealt to several files.
+
+    Null text: only ``end_id``. Very long texts: encoded piece by piece, one row. Repeated rows: written each. Empty table: no rows.
+    Other columns of ``docs`` are left out, whatever their names.
     """
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id")
+    encoded = materialize(encode_documents(docs, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "ids")
+    order = ["doc_id", "n_tokens", "ids_crc32", "row"]
     (
-        encode_documents(ranged, vocabulary, end_id)
-        .sortWithinPartitions("doc_id", "n_tokens", "ids")
+        encoded.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "n_tokens", "ids")
         .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", str(stripe_mb << 20))
         .option("orc.row.index.stride", str(index_stride))
@@ -52,6 +64,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         .option("orc.bloom.filter.fpp", "0.01")
         .orc(path)
     )
+    discard(encoded)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
