@@ -102,35 +102,58 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.context_limits(token_counts.length_histogram(empty)).count() == 0
 
 
-@pytest.mark.parametrize("capacity", [2048, 64])
+@pytest.mark.parametrize("capacity", [2048, 64, 100])
 def test_packing(docs, rows, empty, capacity):
     got = packing.pack_documents(docs, capacity=capacity).collect()
-    want = Counter((r[0], tuple(ids_of(r[1]))) for r in rows)
-    pieces = defaultdict(list)
+    used, starts = defaultdict(list), defaultdict(list)
     for r in got:
-        assert len(r.ids) == 4 * r.length
-        pieces[r.doc_id].append((r.start, list(np.frombuffer(r.ids, "<u4")), r.doc_tokens))
-    for doc_id in {k[0] for k in want}:
-        whole = Counter()
-        for (d, ids), n in want.items():
-            if d == doc_id:
-                at = 0
-                for length in packing.cut_lengths(len(ids), capacity):
-                    whole[(at, ids[at : at + length], len(ids))] += n
-                    at += length
-        assert Counter((s, tuple(int(x) for x in ids), n) for s, ids, n in pieces[doc_id]) == whole
-    used = defaultdict(list)
-    for r in got:
-        used[r.sequence_id].append((r.offset, r.length))
-    for spans in used.values():
+        assert len(r.ids) == 4 * r.length > 0
+        used[r.sequence_id].append((r.offset, r.length, r.doc_id, tuple(np.frombuffer(r.ids, "<u4"))))
+        starts[r.doc_id, r.start].append(r)
+    odd = Counter()
+    for sequence, spans in used.items():
         at = 0
-        for offset, length in sorted(spans):
+        for offset, length, *_ in sorted(spans):
             assert offset == at
             at += length
-        assert at <= capacity and at & (at - 1) == 0  # a power of two: nothing is padded
-    assert packing.pack_documents(empty).count() == 0
-    with pytest.raises(ValueError, match="power of two"):
-        packing.pack_documents(empty, capacity=100)
+        assert at <= capacity
+        if at < capacity:  # nothing is padded: what is left of a task has lengths of powers of two
+            assert at & (at - 1) == 0
+            odd[sequence >> 32, at] += 1
+    assert max(odd.values(), default=1) == 1
+    ids = Counter()
+    for r in rows:
+        ids[r[0]] += len(ids_of(r[1]))
+    assert sum(r.length for r in got) == sum(ids.values())
+    # every document is put together again from its pieces; one doc_id has two equal texts, null doc_id one
+    for doc_id, total in ids.items():
+        mine = sorted((r for r in got if r.doc_id == doc_id), key=lambda r: r.start)
+        assert sum(r.length for r in mine) == total
+        wants = [ids_of(r[1]) for r in rows if r[0] == doc_id]
+        for r in mine:
+            assert any(list(np.frombuffer(r.ids, "<u4")) == w[r.start : r.start + r.length] and r.doc_tokens == len(w) for w in wants)
+        if len(wants) == 1:
+            assert [t for r in mine for t in np.frombuffer(r.ids, "<u4")] == wants[0]
+    assert packing.pack_documents(empty, capacity=capacity).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        packing.pack_documents(empty, capacity=0)
+
+
+def test_packer_keeps_documents_whole():
+    """Bins of class k take k documents; few documents are cut."""
+    rng = np.random.default_rng(0)
+    lengths = np.clip(rng.lognormal(5.5, 1.3, 3000).astype(int), 1, 30_000)
+    packer = packing.Packer(2048)
+    for i, n in enumerate(lengths.tolist()):
+        packer.add(i, np.full(n, i, np.uint32))
+    packer.finish()
+    bins = defaultdict(list)
+    for doc_id, start, length, _, n, sequence, _ in packer.rows:
+        bins[sequence].append((doc_id, start, length, n))
+    assert len(packer.rows) < 1.4 * len(lengths)
+    whole = Counter(d for pieces in bins.values() for d, start, length, n in pieces if length == n)
+    assert len(whole) > 0.85 * (lengths < 2048).sum()
+    assert sum(sum(p[2] for p in pieces) == 2048 for pieces in bins.values()) >= len(bins) - 11
 
 
 def test_token_files(spark, docs, rows, empty):

@@ -2,107 +2,127 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tickerloom.llm.common import doc_batches, materialize
+from tickerloom.llm.common import doc_batches
 from tickerloom.llm.tokens import END_ID, default_vocabulary, encoder
 
-#: Rows of four numbers that are broadcast at most.
-MOST_BROADCAST = 1_000_000
-_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, size_log int, task int, nth long"
+#: Classes 1/1 to 1/CLASSES of the capacity; shorter documents belong to the last one.
+CLASSES = 64
+#: Tokens of cut documents that a task keeps for filling bins up, in sequences; tokens that go out in one record batch.
+SPARE, BATCH_TOKENS = 64, 500_000
 
+#: A piece is (doc_id, start, ids, doc_tokens).
+Piece = tuple[int | None, int, np.ndarray, int]
+_SCHEMA = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")])
 
-def cut_lengths(n: int, capacity: int) -> list[int]:
-    """Whole sequences first, then the powers of two that make up the rest, largest first."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if rest >> b & 1]
 
+class Packer:
+    """The bins of one task.
 
-def cut_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = END_ID) -> DataFrame:
-    """Encode each document, append ``end_id`` and cut it into pieces of length ``capacity / 2**j``.
-
-    ``size_log`` is the class (log2 of the length), ``task`` and ``nth`` number a class's pieces within one worker's task.
+    A document of n tokens, capacity / (k + 1) < n <= capacity / k, is of class k, and a bin of class k takes k documents whole:
+    they fit whatever their lengths. What then is free in the bin is filled from cut documents: the rests of those longer than a
+    sequence, and, only while none are left, the next document.
     """
-    path = vocabulary or default_vocabulary()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), [0] * capacity.bit_length()
-        end = np.array([end_id], "<u4")
-        for batch, texts in doc_batches(batches):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "size_log", "nth")}
-
-            def record() -> pa.RecordBatch:
-                table = pa.RecordBatch.from_pydict(
-                    {k: pa.array(v, pa.binary() if k == "ids" else pa.int32() if k == "size_log" else pa.int64()) for k, v in out.items()}
-                    | {"task": pa.array([task] * len(out["doc_id"]), pa.int32())}
-                )
-                return table.select([c.split()[0] for c in _PIECES.split(", ")])
-
-            held = 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
-                ids, at = np.concatenate([encoder(path).ids(text).astype("<u4"), end]), 0
-                for length in cut_lengths(len(ids), capacity):
-                    log = length.bit_length() - 1
-                    for k, v in zip(out, (doc_id, at, length, ids[at : at + length].tobytes(), len(ids), log, seen[log])):
-                        out[k].append(v)
-                    at += length
-                    seen[log] += 1
-                    held += length
-                if held > 2_000_000:  # bounds what is held for one record batch
-                    yield record()
-                    out, held = {k: [] for k in out}, 0
-            if out["doc_id"]:
-                yield record()
-
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
+    def __init__(self, capacity: int, first_sequence: int = 0, classes: int = CLASSES, spare: int = SPARE):
+        self.capacity, self.sequence, self.classes, self.most_spare = capacity, first_sequence, min(classes, capacity), spare * capacity
+        self.waiting: dict[int, list[Piece]] = {}
+        self.spare: deque[Piece] = deque()
+        self.n_spare = 0
+        self.open: list[Piece] = []  # the bin that is being filled up, with ``room`` tokens free
+        self.room = 0
+        self.rows: list[tuple] = []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        at, n = 0, len(ids)
+        while n - at >= self.capacity:
+            self._place([(doc_id, at, ids[at : at + self.capacity], n)])
+            at += self.capacity
+        if at == n:
+            return
+        piece = (doc_id, at, ids[at:], n)
+        if self.room or (at and self.n_spare < self.most_spare):
+            self.spare.append(piece)
+            self.n_spare += n - at
+        else:
+            k = min(self.capacity // (n - at), self.classes)
+            self.waiting.setdefault(k, []).append(piece)
+            if len(self.waiting[k]) == k:
+                self.open = self.waiting.pop(k)
+                self.room = self.capacity - sum(len(p[2]) for p in self.open)
+        self._fill()
+
+    def _fill(self) -> None:
+        while self.room and self.spare:
+            doc_id, start, ids, n = self.spare.popleft()
+            if len(ids) > self.room:
+                self.spare.appendleft((doc_id, start + self.room, ids[self.room :], n))
+                ids = ids[: self.room]
+            self.open.append((doc_id, start, ids, n))
+            self.room -= len(ids)
+            self.n_spare -= len(ids)
+        if self.open and not self.room:
+            self._place(self.open)
+            self.open = []
+
+    def finish(self) -> None:
+        """Bins that did not fill (a few for each class) are joined and cut anew; the last sequences have the lengths of powers of two."""
+        left = [*self.open, *self.spare, *(p for k in sorted(self.waiting) for p in self.waiting[k])]
+        total = sum(len(p[2]) for p in left)
+        rest = total % self.capacity
+        sizes = [self.capacity] * (total // self.capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        self.open, self.spare, self.waiting = [], deque(left), {}
+        for self.room in sizes:
+            self._fill()
+
+    def _place(self, pieces: list[Piece]) -> None:
+        offset = 0
+        for doc_id, start, ids, n in pieces:
+            self.rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), n, self.sequence, offset))
+            offset += len(ids)
+        self.sequence += 1
+
+    def taken(self) -> pa.RecordBatch:
+        """The rows made since the last call."""
+        columns = list(zip(*self.rows)) or [()] * len(_SCHEMA)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = END_ID) -> DataFrame:
-    """Pack whole documents into sequences of at most ``capacity`` (a power of two) tokens without padding.
+    """Pack whole documents, encoded and ended by ``end_id``, into sequences of at most ``capacity`` tokens.
 
-    Pieces have the lengths ``capacity / k`` for k = 1, 2, 4, ..., so that exactly k pieces of class k fill a sequence:
-    a worker fills its sequences by counting, without looking at other classes or workers. Each task numbers its pieces
-    by class; the classes' counts by task (a few numbers a task) give each task its first number, and number, class and
-    k alone give sequence and offset. A class's last sequence may lack pieces; those it has are dealt to sequences
-    of powers of two. No document is moved: the only shuffle is of the counts.
+    Every task packs its own documents (see Packer): no shuffle, and nothing is written in between. All sequences are full but for
+    at most log2(capacity) a task, whose lengths are powers of two; nothing is padded. sequence_id is task * 2**32 + number.
 
     Returns one row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
-    Null or empty text: only ``end_id``. Null doc_id: kept as null. Repeated rows: packed once each. Empty table: no rows.
-    Other columns of ``docs`` are left out, whatever their names.
+    Null or empty text: only ``end_id``. Very long texts: whole sequences and a rest. Null doc_id: kept as null. Repeated rows:
+    packed once each. Documents of one length: in the order of the table. Empty table: no rows. Other columns of ``docs`` are left
+    out, whatever their names.
     """
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
-    pieces = materialize(cut_documents(docs, vocabulary, capacity, end_id), "pack")
-    of_class = Window.partitionBy("size_log")
-    first = materialize(
-        pieces.groupBy("size_log", "task")
-        .agg(F.count(F.lit(1)).alias("here"))
-        .withColumn("before", F.sum("here").over(of_class.orderBy("task")) - F.col("here"))
-        .withColumn("in_class", F.sum("here").over(of_class))
-        .drop("here"),
-        "offsets",
-    )
-    if first.count() <= MOST_BROADCAST:  # a few numbers a task and class; beyond that Spark joins by shuffle
-        first = F.broadcast(first)
-    per_bin_log = F.lit(capacity.bit_length() - 1) - F.col("size_log")
-    numbered = pieces.join(first, ["size_log", "task"]).withColumn("number", F.col("before") + F.col("nth"))
-    per_bin = F.expr(f"shiftleft(1L, {capacity.bit_length() - 1} - size_log)")
-    # With m pieces in a sequence's bin, slot j belongs to the bit of m at which j and m first differ.
-    return (
-        numbered.withColumn("bin", F.floor(F.col("number") / per_bin))
-        .withColumn("slot", F.col("number") - F.col("bin") * per_bin)
-        .withColumn("pieces", F.least(per_bin, F.col("in_class") - F.col("bin") * per_bin))
-        .withColumn("bit", F.length(F.bin(F.col("slot").bitwiseXOR(F.col("pieces")))) - 1)
-        .withColumn("first_slot", F.expr("shiftleft(shiftright(pieces, bit + 1), bit + 1)"))
-        .select(
-            "doc_id", "start", "length", "ids", "doc_tokens",
-            ((F.col("bin") * 32 + F.col("bit")) * 32 + per_bin_log).cast("long").alias("sequence_id"),
-            ((F.col("slot") - F.col("first_slot")) * F.col("length")).cast("long").alias("offset"),
-        )
-    )
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
+    path = vocabulary or default_vocabulary()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, held = Packer(capacity, TaskContext.get().partitionId() << 32), 0
+        end = np.array([end_id], "<u4")
+        for batch, texts in doc_batches(batches):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).each(texts)):
+                packer.add(doc_id, np.append(ids, end))
+                held += len(ids) + 1
+                if held > BATCH_TOKENS:
+                    yield packer.taken()
+                    held = 0
+        packer.finish()
+        yield packer.taken()
+
+    columns = ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'long'}" for f in _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(pack, columns)
