@@ -173,6 +173,19 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.token_offsets(spark, path).count() == 0
 
 
+def test_token_files_deal_out_repeated_ids(spark):
+    ids = [None] * 30 + [5] * 30 + list(range(20))
+    d = spark.createDataFrame([(i, f"word {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    path = new_path(spark, "orc")
+    token_files.write_token_files(d, path, files=8)
+    got = sorted(token_files.token_offsets(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc(ids_of(f"word {k}")) for k in range(len(ids)))
+    files = token_files.read_token_files(spark, path).selectExpr("doc_id", "_metadata.file_name AS file").distinct().collect()
+    assert len([r for r in files if r.doc_id is None]) > 1 and len([r for r in files if r.doc_id == 5]) > 1
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------------
 
 

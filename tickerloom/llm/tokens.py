@@ -8,7 +8,6 @@ library only for new ones. ``tests/llm`` compares this with encoding whole texts
 from __future__ import annotations
 
 import re
-import string
 from array import array
 from collections.abc import Iterator
 
@@ -17,16 +16,16 @@ import numpy as np
 END_ID = 1
 #: Words remembered by a worker; beyond it the table starts anew, which costs time only.
 REMEMBER = 600_000
-#: Bytes of texts encoded at once, words looked up together, and bytes of a text that are split into words at once.
-GROUP_BYTES, GROUP_WORDS, PIECE = 1 << 21, 40_000, 1 << 18
+#: Bytes of texts encoded at once, and bytes of a text that are split into words at once.
+GROUP, PIECE = 1 << 21, 1 << 18
 _WHITE = re.compile(rb"[ \t-\r]")
 #: Words of a-z and the small letters of Latin-1: the normalizer leaves them as they are and the pre-tokenizer whole.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
-_PUNCT = b".,|!$%&*#;:?"
-_LETTERS = string.ascii_letters.encode()
-#: A run of symbols is one piece, so closing punctuation is a piece of its own only after a letter or digit. Words beyond
-#: Latin-1 stay whole, as composing before or after lower case may differ in them.
-_SPLIT = re.compile(rb"((?:[\x00-\x7f]|\xc2[\x80-\xbf]|\xc3[\x80-\xbf])*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([" + re.escape(_PUNCT) + rb"]*)")
+#: What is beyond Latin-1: composing before or after lower case may differ there, so such text keeps its case.
+_WIDE = re.compile(rb"[\xc4-\xff]")
+_PUNCT = re.escape(b".,|!$%&*#;:?")
+#: Closing punctuation after a letter or digit. A run of symbols is one piece, so there, and only there, it is a piece of its own.
+_CLOSING = re.compile(rb"[%b](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[%b]*+(?=[ \t-\r]|\Z)" % (_PUNCT, _PUNCT))
 _MADE: dict[str, "WordEncoder"] = {}
 
 
@@ -36,97 +35,101 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """ids(text) for a vocabulary file of the tokenizers library whose ids are below 65,536."""
+class WordEncoder(dict):
+    """ids(text) for a vocabulary file of the tokenizers library whose ids are below 65,536; as a mapping, numbers of the words remembered."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Added tokens are matched as they are written; words with what all of them start with (in any case) may hold one.
+        # Added tokens are matched as they are written; text with what all of them start with (in any case) may hold one.
         added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = os.path.commonprefix(added) if added else b"\xff"
-        self.quick = bool(self.mark.strip(_LETTERS + _PUNCT))  # then no word of letters and closing punctuation holds one
-        self.words: dict[bytes, bytes] = {}
         # The byte-level step shows bytes that are no printable Latin-1 characters as the characters from U+0100 on.
         hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
-        self.chars = {b: 0x100 + k for k, b in enumerate(hidden)}
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Plain words go to the library's merge step at once, the others through its whole chain."""
-        merge, chars, plain, out, rest = self.tokenizer.model.tokenize, self.chars, _PLAIN.fullmatch, {}, []
-        for w in words:
-            if plain(w):
-                out[w] = array("H", [t.id for t in merge(w.decode() if w.isascii() else w.decode("latin-1").translate(chars))]).tobytes()
-            else:
-                rest.append(w)
+        self.chars = {b: 0x100 + k for k, b in enumerate(hidden) if b != 0x20}
+        # The merge step alone, for words that need no other; a word's last id is one with the word's end in it.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
+        self.last = np.zeros(1 << 16, bool)
+        if suffix := self.tokenizer.model.end_of_word_suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.ids_known, self.ends = array("H"), array("q", [0])  # the ids of word n are ids_known[ends[n]:ends[n + 1]]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def _learn(self) -> None:
+        """Encode the new words: plain ones by the library's merge step together, the others by its whole chain."""
+        plain = [w for w in self.new if _PLAIN.fullmatch(w)] if self.last.any() else []
+        made = {}
+        if plain:
+            joined = b" ".join(plain)
+            text = joined.decode() if joined.isascii() else joined.decode("latin-1").translate(self.chars)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            raw, ends = ids.tobytes(), (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+            made = {w: raw[a:b] for w, a, b in zip(plain, [0, *ends], ends, strict=False)}
+        rest = [w for w in self.new if w not in made]
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
-        out.update((w, array("H", x.ids).tobytes()) for w, x in zip(rest, found))
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, parts, odd, need, mark, quick = self.words, [], [], set(), self.mark, self.quick
-        for w in new:
-            low = w.rstrip(_PUNCT)
-            if quick and low.isalpha():  # ASCII letters and closing punctuation: the usual case, without a pattern
-                low, tail = low.lower(), w[len(low) :]
-            else:
-                # A word of _SPLIT without an apostrophe or added token splits before its closing punctuation, and its case does not matter.
-                m = None if b"'" in w else _SPLIT.fullmatch(w)
-                if m is None or mark in w.lower():
-                    odd.append(w)
-                    continue
-                low, tail = m[1].lower(), m[2]
-            parts.append((w, low, tail))
-            need.add(low)
-            need.add(tail)
-        known.update(self._encode([w for w in need if w not in known] + odd))
-        for w, low, tail in parts:
-            known[w] = known[low] + known[tail]
-
-    def ids(self, text: bytes) -> np.ndarray:
-        """The ids of a whole text, little-endian unsigned 16-bit."""
-        return self.ids_of([text])[0]
-
-    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of whole texts. New words are learned for many texts at once; a long text goes piece by piece."""
-        made: list[list[bytes]] = [[] for _ in texts]
-        group: list[tuple[list[bytes], list[bytes]]] = []
-        held = 0
-        for parts, text in zip(made, texts):
-            for piece in _pieces(text):
-                group.append((parts, words := piece.split()))
-                held += len(words)
-                if held > GROUP_WORDS:
-                    self._append(group)
-                    group, held = [], 0
-        self._append(group)
-        return [np.frombuffer(b"".join(parts), "<u2") for parts in made]
+        made.update((w, array("H", x.ids).tobytes()) for w, x in zip(rest, found))
+        parts = list(map(made.__getitem__, self.new))
+        self.ids_known.frombytes(b"".join(parts))
+        self.ends.extend((self.ends[-1] + np.cumsum(np.array(list(map(len, parts))) // 2)).tolist())
+        self.new = []
+
+    def _split(self, text: bytes) -> list[bytes]:
+        """The words of a text: in lower case and without their closing punctuation where that changes no id."""
+        low = text.lower()
+        if self.mark in low or _WIDE.search(text):
+            return text.split()
+        return _CLOSING.sub(rb" \g<0>", low).split()
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self) > REMEMBER:
+            self._forget()
+        numbers = []
+        for words in map(self._split, texts):
+            numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        if self.new:
+            self._learn()
+        number = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        ends = np.frombuffer(self.ends, np.int64)
+        first, size = ends[number], ends[number + 1] - ends[number]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = np.frombuffer(self.ids_known, "<u2")[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])] if len(number) else np.zeros(0, "<u2")
+        cuts = upto[np.cumsum([0, *map(len, numbers)])]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def each(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text in turn; texts of about GROUP_BYTES are encoded at once."""
-        first = held = 0
-        for k, text in enumerate(texts, 1):
+        """The ids of each whole text in turn, little-endian unsigned 16-bit. New words are learned for many texts at once; a long text goes piece by piece."""
+        group: list[bytes] = []
+        held = 0
+        for text in texts:
+            if len(text) > PIECE:
+                yield from self._ids(group)
+                group, held = [], 0
+                yield np.concatenate([self._ids([piece])[0] for piece in _pieces(text)])
+                continue
+            group.append(text)
             held += len(text)
-            if held > GROUP_BYTES or k == len(texts):
-                yield from self.ids_of(texts[first:k])
-                first, held = k, 0
-
-    def _append(self, group: list[tuple[list[bytes], list[bytes]]]) -> None:
-        """Encode word lists to the ends of their texts' parts; all words of a group are in the table at once."""
-        distinct = set().union(*[words for _, words in group])
-        new = distinct.difference(self.words)
-        if len(self.words) + 3 * len(new) > REMEMBER:
-            self.words.clear()
-            new = distinct
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        for parts, words in group:
-            parts.append(b"".join(map(get, words)))
+            if held > GROUP:
+                yield from self._ids(group)
+                group, held = [], 0
+        yield from self._ids(group)
+
+    def ids(self, text: bytes) -> np.ndarray:
+        return next(self.each([text]))
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
