@@ -14,7 +14,10 @@ from tickerloom.llm import labelled
 from tickerloom.llm.common import doc_batches
 
 BUCKETS_LOG = 16
-SCALE = 10
+#: N-grams of fewer training texts have no say, as nothing shared can be learned from them.
+LEAST_TEXTS = 3
+#: Averages of thousands of n-grams are small; the factor brings them to a scale that the softmax moves quickly. And the step size.
+SCALE, RATE = 50, 0.03
 GRAMS = (3, 4, 5, 6)
 #: Bytes handled at once; longer texts are cut with enough overlap that no character n-gram is lost.
 BLOCK = 1 << 20
@@ -57,18 +60,19 @@ def gram_buckets(text: bytes) -> Iterator[np.ndarray]:
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their weights in its average: roots of their counts, to length 1. Roots keep frequent n-grams from drowning rare ones."""
+    """Buckets of a text's n-grams and their shares."""
     counts = np.zeros(1 << BUCKETS_LOG, np.int64)
     for buckets in gram_buckets(text):
         counts += np.bincount(buckets, minlength=len(counts))
     at = np.flatnonzero(counts)
-    return at.astype(np.uint16), np.sqrt(counts[at] / max(counts.sum(), 1)).astype(np.float32)
+    return at.astype(np.uint16), (counts[at] / max(counts.sum(), 1)).astype(np.float32)
 
 
 @dataclass
 class ToxicityModel:
-    """Buckets' weights (embedding times the difference of the output vectors) and the bias."""
+    """Buckets' weights in the average (rare ones weigh more), their embeddings times the difference of the output vectors, and the bias."""
 
+    rarity: np.ndarray
     weights: np.ndarray
     bias: float
 
@@ -76,44 +80,57 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.logit(*bag(text)), -40, 40))))
 
     def logit(self, at: np.ndarray, share: np.ndarray) -> float:
-        return float(np.dot(self.weights[at], share)) + self.bias
-
-
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 8, epochs: int | None = None, batch: int = 64, rate: float = 0.1, seed: int = 7) -> ToxicityModel:
-    """Embeddings (zero-centred), output layer and bias by AdaGrad on the softmax loss; both classes weigh alike."""
-    rng = np.random.default_rng(seed)
-    epochs = epochs or int(np.clip(24_000 / max(len(y), 1), 8, 60))  # small samples need as many steps
-    size = 1 << BUCKETS_LOG
-    emb = rng.normal(0, 0.1, (dim, size)).astype(np.float32)
-    out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    sums = [np.full_like(p, 1e-6) for p in (emb, out, bias)]
+        part = self.rarity[at] * share
+        total = part.sum(dtype=np.float64)
+        return float(np.dot(self.weights[at], part) / total) + self.bias if total > 0 else self.bias
+
+
+def rarity(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Logarithm of how few of these texts have a bucket; 0 for buckets of fewer than LEAST_TEXTS."""
+    texts = np.zeros(1 << BUCKETS_LOG, np.int64)
+    for at, _ in bags:
+        texts[at] += 1
+    return np.where(texts >= LEAST_TEXTS, np.log((1 + len(bags)) / (1 + texts)), 0).astype(np.float32)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 8, epochs: int | None = None, seeds: tuple[int, ...] = (7, 8)) -> ToxicityModel:
+    """Embeddings, output layer and bias by stochastic gradient steps on the softmax loss, text by text, with a falling step size.
+
+    Both classes weigh alike. Steps of one size for all buckets let what many texts share grow first, so rare n-grams of single texts
+    are not learned by heart. Models of several seeds are averaged (they are linear in a text's average).
+    """
+    rare, size = rarity(bags), 1 << BUCKETS_LOG
+    parts = []
+    for at, share in bags:
+        part = rare[at] * share
+        used = part > 0
+        parts.append((at[used].astype(np.int64), (part[used] / max(part.sum(), 1e-12)).astype(np.float32)))
+    epochs = epochs or int(np.clip(24_000 / max(len(y), 1), 6, 40))  # small samples need as many steps
     weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9)).astype(np.float32)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for rows in np.array_split(order, max(1, len(y) // batch)):
-            sizes = np.array([len(bags[r][0]) for r in rows])
-            full = rows[sizes > 0]
-            if not len(full):
-                continue
-            at = np.concatenate([bags[r][0] for r in full]).astype(np.int64)
-            share_of = np.concatenate([bags[r][1] for r in full])
-            starts = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
-            # The factor keeps averages of thousands of n-grams at a scale that AdaGrad moves quickly.
-            hidden = np.add.reduceat(emb[:, at] * share_of, starts, axis=1).T * SCALE
-            logits = hidden @ out + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(full)), y[full]] -= 1
-            p *= (weight[full] / len(full))[:, None]
-            d_hidden = (p @ out.T) * SCALE
-            per_gram = np.repeat(np.arange(len(full)), sizes[sizes > 0])
-            d_emb = np.stack([np.bincount(at, d_hidden[per_gram, k] * share_of, minlength=size) for k in range(dim)]).astype(np.float32)
-            for value, total, grad in zip((emb, out, bias), sums, (d_emb, hidden.T @ p, p.sum(0))):
-                total += grad * grad
-                value -= rate * grad / np.sqrt(total)
-    weights = ((out[:, 1] - out[:, 0]) @ emb * SCALE).astype(np.float32)
-    return ToxicityModel(weights, float(bias[1] - bias[0]))
+    weights, biases = np.zeros(size), []
+    for seed in seeds:
+        rng = np.random.default_rng(seed)
+        emb = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
+        out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
+        bias = np.zeros(2, np.float32)
+        for step, i in enumerate(np.concatenate([rng.permutation(len(y)) for _ in range(epochs)])):
+            at, part = parts[i]
+            hidden = emb[at].T @ part * SCALE
+            z = hidden @ out + bias
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[y[i]] -= 1
+            p *= weight[i]
+            back = out @ p * SCALE
+            # A step never overshoots, however short the text or large the output vectors.
+            steep = SCALE**2 * float(part @ part) * float((out * out).sum()) + float(hidden @ hidden)
+            rate = RATE * (1 - step / (epochs * len(y))) / (1 + RATE * steep)
+            emb[at] -= rate * part[:, None] * back
+            out -= rate * np.outer(hidden, p)
+            bias -= rate * p
+        weights += emb @ (out[:, 1] - out[:, 0]) * SCALE / len(seeds)
+        biases.append(float(bias[1] - bias[0]))
+    return ToxicityModel(rare, weights.astype(np.float32), float(np.mean(biases)))
 
 
 def threshold(logits: np.ndarray, y: np.ndarray, share: float) -> float:
@@ -131,12 +148,12 @@ def fit_calibrated(bags: list, y: np.ndarray, share: float, seed: int = 7) -> To
     rest, most = np.flatnonzero(part == 0), np.flatnonzero(part)
     shift = 0.0
     if len(set(y[rest].tolist())) == 2 and len(set(y[most].tolist())) == 2:
-        trial = fit([bags[i] for i in most], y[most], seed=seed)
+        trial = fit([bags[i] for i in most], y[most])
         # With few examples to place it on, the cut-off leans to equal costs: the rarer class would vanish otherwise.
         few = (y[rest] == 1).sum()
         shift = threshold(np.array([trial.logit(*bags[i]) for i in rest]), y[rest], (few * share + 100 * 0.3) / (few + 100))
-    model = fit(bags, y, seed=seed)
-    return ToxicityModel(model.weights, model.bias - shift)
+    model = fit(bags, y)
+    return ToxicityModel(model.rarity, model.weights, model.bias - shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold_out: int = 0, most: int = 1500) -> ToxicityModel:
@@ -154,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     rows = sample.mapInArrow(bags, "y int, at binary, share binary").toArrow().sort_by([("y", "ascending"), ("at", "ascending")])
     y = rows["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:  # nothing to tell apart: every document gets the one label's score
-        return ToxicityModel(np.zeros(1 << BUCKETS_LOG, np.float32), 40.0 if len(y) and y[0] else -40.0)
+        return ToxicityModel(np.zeros(1 << BUCKETS_LOG, np.float32), np.zeros(1 << BUCKETS_LOG, np.float32), 40.0 if len(y) and y[0] else -40.0)
     made = [(np.frombuffer(a, np.uint16), np.frombuffer(v, np.float32)) for a, v in zip(rows["at"].to_pylist(), rows["share"].to_pylist())]
     return fit_calibrated(made, y, counts.get(1, 0) / max(sum(counts.values()), 1))
 
