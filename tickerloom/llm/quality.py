@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from tickerloom.llm import labelled
 from tickerloom.llm.common import doc_batches, word_hashes
 
-#: Terms: hashed trigrams of character classes, then shares of repeated words, then lengths.
-GRAMS, REPEATS, LENGTHS = 1024, 4, 16
-TERMS = GRAMS + REPEATS + LENGTHS
+#: Terms: hashed words, hashed trigrams of character classes, shares of repeated words, lengths.
+WORDS, GRAMS, REPEATS, LENGTHS = 512, 512, 4, 16
+TERMS = WORDS + GRAMS + REPEATS + LENGTHS
+#: What the words weigh beside the trigrams.
+WORD_WEIGHT = 1.0
 BLOCK = 1 << 22
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -29,23 +31,25 @@ for _c in b"0123456789":
 
 
 def terms(text: bytes) -> np.ndarray:
-    """Term weights of a whole text: what kinds of characters follow each other, how words repeat, how long it is."""
-    out = np.zeros(TERMS)
+    """Term weights of a whole text: its words, what kinds of characters follow each other, how words repeat, how long it is."""
+    of_word, grams, repeats, lengths = np.zeros(WORDS), np.zeros(GRAMS), np.zeros(REPEATS), np.zeros(LENGTHS)
     for at in range(0, len(text), BLOCK):
         c = _CLASS[np.frombuffer(text[max(at - 2, 0) : at + BLOCK], np.uint8)].astype(np.uint32)
         if len(c) > 2:
-            h = ((c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(22)
-            out[:GRAMS] += np.bincount(h, minlength=GRAMS)
-    out[:GRAMS] = np.sqrt(out[:GRAMS] / max(out[:GRAMS].sum(), 1))
+            h = ((c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(23)
+            grams += np.bincount(h, minlength=GRAMS)
     words = word_hashes(text)
+    if len(words):
+        of_word += np.bincount((words >> np.uint64(55)).astype(np.int64), minlength=WORDS)
     if len(words) > 1:
         same = words[1:] == words[:-1]
-        out[GRAMS] = same.mean() ** 0.5
-        out[GRAMS + 1] = (1 - len(np.unique(words)) / len(words)) / 2
-        out[GRAMS + 2] = 0.5 * same.any()
-    out[GRAMS + 3] = 0.3
-    out[GRAMS + REPEATS + min(LENGTHS - 1, len(words).bit_length())] = 0.25
-    return out
+        repeats[0] = same.mean() ** 0.5
+        repeats[1] = (1 - len(np.unique(words)) / len(words)) / 2
+        repeats[2] = 0.5 * same.any()
+    repeats[3] = 0.3
+    lengths[min(LENGTHS - 1, len(words).bit_length())] = 0.25
+    share = lambda counts: np.sqrt(counts / max(counts.sum(), 1))
+    return np.concatenate([WORD_WEIGHT * share(of_word), share(grams), repeats, lengths])
 
 
 @dataclass
