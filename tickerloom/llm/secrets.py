@@ -109,9 +109,11 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
     for chunk in chunks:
         rest += chunk
         while rest:
+            before = stream.copy()
             try:
                 block = stream.decompress(rest, BLOCK)
             except zlib.error:
+                yield from _up_to_fault(before, rest)
                 return
             if block:
                 yield block
@@ -136,6 +138,21 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
             yield block
 
 
+def _up_to_fault(stream, rest: bytes) -> Iterator[bytes]:
+    """What a stream still gives before the fault in ``rest``, such as a wrong checksum at its very end."""
+    at = 0
+    for step in (1 << 12, 1 << 6, 1):
+        while at < len(rest):
+            ahead = stream.copy()
+            try:
+                block = ahead.decompress(rest[at : at + step])
+            except zlib.error:
+                break
+            stream, at = ahead, at + step
+            if block:
+                yield block
+
+
 def _unpacked(chunks: Iterator[bytes], path: str, whole: tuple[int, int], above: frozenset = frozenset()) -> Iterator[_Layer]:
     """Layers of a compressed stream. A stream in it is unwrapped before anything is read as text, unless it unwraps to itself."""
     pieces = _inflated(chunks)
