@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import materialize
 
-#: Vectors that the graph and the classifier are fitted on, at most; each part has SAMPLE_PER_PART of them.
-SAMPLE, SAMPLE_PER_PART, MOST_PARTS = 6000, 128, 64
-#: Share of true neighbours (on sampled vectors that the classifier has not seen) that the number of probed parts must find.
-RECALL = 0.96
+#: Vectors that graph and classifier are fitted on: one in ROWS_PER_SAMPLED, within these bounds; each part has SAMPLE_PER_PART of them.
+LEAST_SAMPLE, MOST_SAMPLE, ROWS_PER_SAMPLED, SAMPLE_PER_PART = 6000, 32_000, 16, 128
+#: Share of true neighbours that the number of probed parts must find, among sampled vectors that neither graph nor classifier has seen.
+RECALL = 0.97
 #: Rows of one block of a part, and of one block of queries, at most.
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
 
@@ -127,24 +127,26 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: i
 
 
 def fit_router(x: np.ndarray, recall: float = RECALL, k: int = 5, seed: int = 3) -> Router:
-    """Graph, parts and classifier on sampled unit vectors; probes are counted on a tenth kept out of the classifier's training."""
+    """Graph, parts and classifier on two thirds of sampled unit vectors; probes are counted on the last third.
+
+    There both queries and their neighbours are new to the classifier, as almost all rows of a large table are.
+    """
     n = len(x)
-    parts = int(np.clip(n // SAMPLE_PER_PART, 1, MOST_PARTS))
-    if parts == 1:
+    order = np.random.default_rng(seed).permutation(n)
+    unseen, seen = x[order[: n // 3]], x[order[n // 3 :]]
+    parts = len(seen) // SAMPLE_PER_PART
+    if parts <= 1:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    graph = neighbour_graph(x, min(10, n - 1))
-    part = balanced_parts(graph, x, parts)
-    target = np.zeros((n, parts))
-    np.add.at(target, (np.arange(n)[:, None], part[graph]), 1.0)
-    target[np.arange(n), part] += 1
+    graph = neighbour_graph(seen, min(10, len(seen) - 1))
+    part = balanced_parts(graph, seen, parts)
+    target = np.zeros((len(seen), parts))
+    np.add.at(target, (np.arange(len(seen))[:, None], part[graph]), 1.0)
+    target[np.arange(len(seen)), part] += 1
     target /= target.sum(1, keepdims=True)
-    unseen = np.random.default_rng(seed).permutation(n)[: max(n // 10, min(n, 50))]
-    seen = np.setdiff1d(np.arange(n), unseen)
-    router = train_router(x[seen], target[seen])
-    home = router.home(x)
-    order = np.argsort(-router.logits(x[unseen]), axis=1, kind="stable")
-    place = np.argsort(order, axis=1)  # place[q, p]: how manieth part p is for query q
-    needed = place[np.arange(len(unseen))[:, None], home[graph[unseen, :k]]]
+    router = train_router(seen, target)
+    logits = router.logits(unseen)
+    place = np.argsort(np.argsort(-logits, axis=1, kind="stable"), axis=1)  # place[q, p]: how manieth part p is for query q
+    needed = place[np.arange(len(unseen))[:, None], logits.argmax(1)[neighbour_graph(unseen, min(k, len(unseen) - 1))]]
     found = np.array([(needed < m).mean() for m in range(1, parts + 1)])
     router.probes = int(np.argmax(found >= recall)) + 1 if (found >= recall).any() else parts
     return router
@@ -183,7 +185,8 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5
     in_group = Window.partitionBy("h", "v").orderBy("id")
     members = rows.withColumn("nth", F.row_number().over(in_group)).filter(F.col("nth") <= k + 1)
     groups = materialize(members.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")
-    sample = groups.orderBy(F.xxhash64("h"), "h").limit(SAMPLE).select("h", "v").toArrow().sort_by("h")
+    n_sample = min(max(groups.count() // ROWS_PER_SAMPLED, LEAST_SAMPLE), MOST_SAMPLE)
+    sample = groups.orderBy(F.xxhash64("h"), "h").limit(n_sample).select("h", "v").toArrow().sort_by("h")
     _, x = _unit(sample["v"].combine_chunks(), dim)
     router = spark.sparkContext.broadcast(fit_router(x, recall, k) if len(x) else None)
 
