@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -269,6 +270,27 @@ def test_scores(spark, kind, folds, out):
         assert kept.columns == d.columns and kept.count() == sum(r.predicted == 0 for r in got.values())
 
 
+def test_scores_equal_plain_ones(spark):
+    docs, labels = labelled_rows()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    bags_of_grams = toxicity.train(d, lab)
+    votes = quality.train(d, lab)
+    by_bag = {r.doc_id: r.score for r in toxicity.score_documents(d, bags_of_grams).collect()}
+    by_vote = {r.doc_id: r.score for r in quality.score_documents(d, votes, block=7).collect()}
+    for i, text in docs:
+        raw = (text or "").encode()
+        count = Counter(b for part in toxicity.gram_buckets(raw) for b in part.tolist())
+        total = sum(n * float(bags_of_grams.rarity[b]) for b, n in count.items())
+        mean = sum(n * float(bags_of_grams.rarity[b]) * float(bags_of_grams.weights[b]) for b, n in count.items()) / total if total else 0.0
+        assert by_bag[i] == pytest.approx(1 / (1 + np.exp(-np.clip(mean + bags_of_grams.bias, -40, 40))), abs=1e-4)
+        at = votes.embed(quality.terms(raw)[None])[0]
+        near = sorted(((float(at @ v), k) for k, v in enumerate(votes.vectors)), reverse=True)[: votes.neighbours]
+        weigh = [np.exp(votes.sharpness * (c - near[0][0])) * votes.weights[k] for c, k in near]
+        want = sum(w * votes.votes[k] for w, (_, k) in zip(weigh, near)) / sum(weigh)
+        assert by_vote[i] == pytest.approx(want, abs=0.02)  # neighbours at equal distance may change places
+
+
 def test_grams_do_not_depend_on_blocks(monkeypatch):
     text = ("Ärger über alles, id1ot " * 40).encode()
     whole = toxicity.bag(text)
@@ -280,6 +302,26 @@ def test_grams_do_not_depend_on_blocks(monkeypatch):
 # --- 5 -------------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("n", range(decontamination.LEAST_WORDS, decontamination.WINDOW + 1))
+def test_masks_find_every_overlap(n):
+    """Wherever the words that may differ stand in a window, a mask has all its ones on equal words."""
+    differ = n - -(-decontamination.SHARE_PERCENT * n // 100)
+    assert all("0" in mask for mask in decontamination.masks_of(n))
+    places = [sum(1 << (at + k) for k, bit in enumerate(mask) if bit == "1") for mask in decontamination.masks_of(n) for at in range(n - len(mask) + 1)]
+    for out in itertools.combinations(range(n), differ):
+        gone = sum(1 << i for i in out)
+        assert any(place & gone == 0 for place in places), out
+
+
+def test_decontamination_ways_agree(spark):
+    line = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    docs = [(1, line), (1, line), (1, line.replace("c", "!")), (None, line), (None, line.upper()), (2, "nothing of it"), (3, None), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, line), (8, "f g h i j"), (9, "q w e r"), (None, line), (10, None)], "item_id long, text string")
+    ways = [Counter(tuple(r) for r in decontamination.contaminated_pairs(d, b, most).collect()) for most in (10**6, 0)]
+    assert ways[0] == ways[1] and sum(ways[0].values()) == 10
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(60)]
@@ -491,6 +533,8 @@ def test_secrets_in_nested_and_broken_layers():
         "percent": quote(gzip.compress(secret)),
         "percent zlib": quote(zlib.compress(secret)),
         "over a block": b64(zlib.compress(b"a, " * (fill // 3) + b"," + long + b"," + b"a, " * 50_000)),
+        "wrong checksum": b64(gzip.compress(secret)[:-8] + b"12345678"),
+        "wrong zlib checksum": b64(zlib.compress(secret)[:-4] + b"1234"),
         "behind a path": "path/to/" + b64(secret),
         "behind a dash": "some-name-" + b64(secret),
         "behind an underscore": "a_" + b64(secret),

@@ -14,13 +14,16 @@ from tickerloom.llm.common import doc_batches, materialize, mix, word_hashes
 
 #: Words of the window that decides, and the share of them that must be equal.
 WINDOW, SHARE_PERCENT, LEAST_WORDS = 20, 80, 5
-#: Masks: 1 is compared, 0 ignored. 16 equal words in 20 hold a run of four, so these find every overlap of long items;
-#: the shorter ones are for items under WINDOW words.
-MASKS = ("1111", "11011")
-SHORT_MASKS = ("111", "1101", "1011")
+#: Masks: 1 is compared, 0 ignored. Wherever the unequal words of a window of WINDOW words stand, the mask for long items fits somewhere
+#: in between; for items under WINDOW words one of the two short ones does. A test goes through all cases.
+MASKS = ("1101001",)
+SHORT_MASKS = ("1101", "1011")
 #: Benchmarks of at most so many words are sent to every worker (about 24 bytes a word); larger ones are joined by shuffle.
 BROADCAST_WORDS = 2_000_000
 
+#: Tasks that rows of one seed are dealt to, where seeds are joined by shuffle.
+SALTS = 8
+
 _HITS = "doc_id long, item_id long, n_match long, window long, doc_start long, item_start long"
 
 
@@ -37,7 +40,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_of(n_words: int) -> tuple[str, ...]:
-    return MASKS if n_words >= WINDOW else MASKS + SHORT_MASKS
+    return MASKS if n_words >= WINDOW else SHORT_MASKS
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -135,26 +138,31 @@ def _seed_rows(table: DataFrame, key: str, of_item: bool) -> DataFrame:
 
 
 def _by_shuffle(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same without a table on every worker: seeds of both sides are joined, and the texts of the pairs they name brought together."""
-    row_key = lambda i: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
-    left = docs.select("doc_id", "text", row_key("doc_id").alias("row")).dropDuplicates(["row"])
-    right = benchmark.select("item_id", "text", row_key("item_id").alias("row")).dropDuplicates(["row"])
-    pairs = materialize(_seed_rows(left, "doc", False).join(_seed_rows(right, "item", True).withColumnRenamed("at", "q"), "h").select("doc", "item", (F.col("at") - F.col("q")).alias("shift")).distinct(), "seeds")
-    joined = pairs.join(left.select(F.col("row").alias("doc"), "doc_id", F.col("text").alias("doc_text")), "doc").join(right.select(F.col("row").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
+    """The same without a table on every worker: seeds of both sides are joined, and each pair of texts that they name is brought together once.
+
+    Equal texts are searched once; rows of a frequent seed are dealt to SALTS tasks, to each of which all items with it go.
+    """
+    keyed = docs.select("doc_id", "text", F.md5("text").alias("row")).filter(F.col("text").isNotNull())
+    left = keyed.select("row", "text").dropDuplicates(["row"])
+    right = benchmark.select("item_id", "text", F.col("item_id").cast("string").alias("row"))
+    salted = _seed_rows(left, "doc", False).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    spread = _seed_rows(right, "item", True).withColumnRenamed("at", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = salted.join(spread, ["h", "salt"]).groupBy("doc", "item").agg(F.collect_set(F.col("at") - F.col("q")).alias("shifts"))
+    pairs = materialize(pairs, "seeds")
+    joined = pairs.join(left.select(F.col("row").alias("doc"), F.col("text").alias("doc_text")), "doc").join(right.select(F.col("row").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in doc_batches(batches, "doc_text"):
             out, items = [], batch.column("item_text").to_pylist()
-            for doc_id, item_id, shift, text, item in zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), batch.column("shift").to_pylist(), texts, items):
-                hit = best_hits(word_hashes(text), {0: {shift}}, {0: word_hashes(item.encode())})
-                out += [(doc_id, item_id, *h[1:]) for h in hit]
+            for doc, item_id, shifts, text, item in zip(batch.column("doc").to_pylist(), batch.column("item_id").to_pylist(), batch.column("shifts").to_pylist(), texts, items):
+                hits = best_hits(word_hashes(text), {item_id: set(shifts)}, {item_id: word_hashes(item.encode())})
+                out += [(doc, *hit) for hit in hits]
             columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in _HITS.split(", ")])
+            arrays = [pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", *(f.split()[0] for f in _HITS.split(", ")[1:])])
 
-    hits = joined.select("doc_id", "item_id", "shift", "doc_text", "item_text").mapInArrow(run, _HITS)
-    best = F.min(F.struct(-F.col("n_match"), F.col("doc_start") - F.col("item_start"), "item_start", "doc_start", "window").alias("b")).alias("b")
-    back = hits.groupBy("doc_id", "item_id").agg(best)
-    return back.select("doc_id", "item_id", (-F.col("b.col1")).alias("n_match"), "b.window", "b.doc_start", "b.item_start")
+    hits = joined.select("doc", "item_id", "shifts", "doc_text", "item_text").mapInArrow(run, _HITS.replace("doc_id long", "row string"))
+    return keyed.select("doc_id", "row").join(hits, "row").select(*(f.split()[0] for f in _HITS.split(", ")))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -162,9 +170,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, broadcast_words: i
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. They overlap if, at some shift, SHARE_PERCENT of WINDOW consecutive
     item words (all of a shorter item's) equal the document's; the row has the shift with the most, then the smallest.
-    Substituted words therefore cost a place each, not the match. Items under LEAST_WORDS words take no part; nor do null
-    texts. Null ids are kept, but a null item_id is left out of a broadcast table. Repeated rows of documents give a row each
-    (one in all where the benchmark is too large to be sent out). Either table empty: no rows. Other columns are ignored.
+    Substituted words therefore cost a place each, not the match. Items under LEAST_WORDS words take no part, nor do null texts or
+    items without an item_id; of several texts of one item_id the smallest counts. Rows of a null doc_id and repeated rows of documents
+    give a row each. Ties go to the smallest shift, then the earliest window. Very long texts: whole; time grows with their seeds that
+    items have. Either table empty: no rows. Other columns are ignored. The size of the benchmark decides the way, never the rows.
     """
     named = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
     size = named.agg(F.coalesce(F.sum(F.length("text") - F.length(F.regexp_replace("text", r"\s", ""))), F.lit(0)), F.count(F.lit(1))).first()
