@@ -6,11 +6,13 @@ import io
 import random
 import re
 import zipfile
+from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickerloom.functions import fixed
 from tickerloom.operators import clustering, health, ranking, slate, warehouse
 from tickerloom.sources import gkg, json_feeds, wikitext
 from tickerloom.streaming import ingest
@@ -111,6 +113,15 @@ def test_merge_chain_and_moves(spark):
     assert {(r.candidate_id, r.cluster_id, r.method) for r in moved.collect()} == {(1, 1, "seed"), (2, 9, "manual"), (3, 3, "seed")}
 
 
+def test_long_merge_chains_and_circles(spark):
+    m = spark.createDataFrame([(i, i) for i in range(45)], "candidate_id long, cluster_id long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(44, 44)], "from_id long, into_id long")
+    got = {r.candidate_id: r.cluster_id for r in clustering.merge_clusters(m, chain).collect()}
+    assert got == {i: 40 if i <= 40 else i for i in range(45)}
+    with pytest.raises(ValueError, match="circle"):
+        clustering.merge_clusters(m, spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "from_id long, into_id long"))
+
+
 def item(i, **over):
     base = dict(cluster_id=i, edition="e", headline=f"h{i}", state="eligible", item_status="suggested", score=200.0 - i, sport="basketball", desk="run", event_type="trade", urgency="normal", domains=3, lead_ok=True, wire_ok=True, now_ok=True, desk_ok=True, entities=[f"team:{i}"], tokens=[f"t{i}"], teams=[f"{i}"], newest_at=pd.Timestamp("2024-01-01"), pinned=False, forced_section=None)  # fmt: skip  # noqa: C408
     return base | over
@@ -128,6 +139,30 @@ def test_slate_rules():
     assert ("wire", 1, 2, None) in pinned
 
 
+def test_slates_keep_their_limits():
+    rng = random.Random(5)
+    for _ in range(20):
+        drawn = [
+            item(
+                i, score=float(rng.randrange(120, 260)), sport=rng.choice(["basketball", "football", "golf"]), desk=rng.choice(["run", "huddle", "across-the-board"]), event_type=rng.choice(["trade", "injury", None]),
+                teams=sorted({str(rng.randrange(8)) for _ in range(rng.randrange(3))}), entities=[f"e{rng.randrange(40)}" for _ in range(2)], tokens=[f"t{rng.randrange(60)}"], lead_ok=rng.random() < 0.3, wire_ok=rng.random() < 0.5,
+                now_ok=rng.random() < 0.7, desk_ok=rng.random() < 0.9, urgency=rng.choice(["normal", "developing"]), domains=rng.randrange(1, 5), newest_at=rng.choice([pd.NaT, pd.Timestamp("2024-01-01")]),
+            )
+            for i in range(rng.choice([0, 3, 80]))
+        ]
+        rows = slate.fill_sections(pd.DataFrame(drawn, columns=list(item(0))))
+        by_id = {r["cluster_id"]: r for r in drawn}
+        placed = [(s, by_id[c]) for s, _, c, why in rows if why is None]
+        assert len({r["cluster_id"] for _, r in placed}) == len(placed)
+        assert all(why in (None, "same-event", "team", "sport", "event-type") for *_, why in rows)
+        for section in slate.SECTIONS:
+            here = [r for s, r in placed if s == section]
+            assert len(here) <= fixed.SLATE_DEPTH[section] and all(r[f"{section}_ok"] if f"{section}_ok" in r else r["desk"] == section and r["desk_ok"] for r in here)
+            assert [p for s, p, _, why in rows if s == section and why is None] == list(range(1, len(here) + 1))
+            assert max(Counter(t for r in here for t in r["teams"]).values(), default=0) <= fixed.DIVERSITY["team_section"]
+        assert max(Counter(t for _, r in placed for t in r["teams"]).values(), default=0) <= fixed.DIVERSITY["team_slate"]
+
+
 def test_scores_add_up(spark):
     row = spark.createDataFrame([(1, "basketball", "professional", 2.0, 2.0, "trade", True, "developing", "high", 3, 2, 2, 1, 2, 2)], "cluster_id long, sport string, tier string, latest_hours double, event_hours double, event_type string, stakes boolean, urgency string, confidence string, domains int, variants int, known_domains int, last_15m int, last_hour int, providers int")
     row = row.withColumn("overrides", F.array(F.struct(F.lit("boost").alias("kind"), F.lit(500.0).alias("amount"))))

@@ -12,60 +12,94 @@ from tickerloom.functions import fixed
 from tickerloom.operators.ranking import lookup
 
 SECTIONS = ["lead", "wire", *fixed.DESK_ORDER, "now"]
+#: Sections that draw from all sports.
+MIXED = ("wire", "now")
 SLATE = "edition string, section string, position int, cluster_id long, skipped string"
 
 
-def _same_event(a, b, least: int) -> bool:
-    both = len(set(a.entities) & set(b.entities))
-    if both >= least:
-        return True
-    x, y = set(a.tokens), set(b.tokens)
-    overlap = len(x & y) / len(x | y) if x | y else 0.0
-    return (both >= 1 and overlap >= 0.3) or overlap >= 0.4
+def _column_for(items: pd.DataFrame, section: str) -> pd.Series:
+    """Which items may stand in a section at all."""
+    if f"{section}_ok" in items.columns:
+        return items[f"{section}_ok"].astype(bool)
+    return (items["desk"] == section) & items["desk_ok"].astype(bool)
+
+
+def _queues(items: pd.DataFrame) -> dict[str, pd.DataFrame]:
+    """Each section's items in the order in which they are offered; one that an editor forced into a fitting section is offered there only."""
+    may = pd.DataFrame({s: _column_for(items, s) for s in SECTIONS})
+    bound = pd.Series([bool(f in may.columns and may.at[i, f]) for i, f in items["forced_section"].items()], index=items.index)
+    ordered = items.assign(pin_first=~items["pinned"].astype(bool), weight=items["sport"].map(fixed.SPORT_WEIGHT).fillna(0))
+    ordered = ordered.sort_values(["pin_first", "score", "weight", "cluster_id"], ascending=[True, False, False, True])
+    return {s: ordered[(may[s] & (~bound | (items["forced_section"] == s))).reindex(ordered.index)] for s in SECTIONS}
+
+
+def _overlap(a, b) -> tuple[int, float]:
+    """Common entities, and the share of common among all words."""
+    words = set(a.tokens) | set(b.tokens)
+    return len(set(a.entities).intersection(b.entities)), len(set(a.tokens).intersection(b.tokens)) / max(len(words), 1)
+
+
+def _tells_the_same(item, page: list[tuple]) -> bool:
+    """Whether a placed item of the sport, within a day (or of unknown time), is about the same event."""
+    for _, other in page:
+        if other.sport != item.sport or abs((other.newest_at - item.newest_at).total_seconds()) > 86_400:
+            continue
+        common, share = _overlap(other, item)
+        if common >= fixed.DIVERSITY["same_event"] or share >= (0.3 if common else 0.4):
+            return True
+    return False
+
+
+def _team_is_full(item, page: list[tuple], section: str) -> bool:
+    """Whether a team of the item stands in this section or on the page as often as it may."""
+    per_team = [(sum(team in o.teams for s, o in page if s == section), sum(team in o.teams for _, o in page)) for team in item.teams]
+    return any(here >= fixed.DIVERSITY["team_section"] or all_over >= fixed.DIVERSITY["team_slate"] for here, all_over in per_team)
+
+
+def _share_is_full(field: str, limit: str):
+    """A test whether a mixed section holds its share of items with this item's ``field``."""
+
+    def full(item, page: list[tuple], section: str) -> bool:
+        value = getattr(item, field)
+        if section not in MIXED or not value:
+            return False
+        room = max(1, math.ceil(fixed.SLATE_DEPTH[section] * fixed.DIVERSITY[limit]))
+        return sum(getattr(o, field) == value for s, o in page if s == section) >= room
+
+    return full
+
+
+def _outranks_limits(item) -> bool:
+    """Pinned, breaking, or developing with many sources: shares and teams do not count against it."""
+    return bool(item.pinned) or item.urgency == "breaking-candidate" or (item.urgency != "normal" and item.domains >= fixed.DIVERSITY["dominant_sources"])
+
+
+#: (reason, what frees an item from the rule, test), the first that applies is given as the reason.
+RULES = (
+    ("same-event", lambda item: bool(item.pinned), lambda item, page, section: _tells_the_same(item, page)),
+    ("team", _outranks_limits, _team_is_full),
+    ("sport", _outranks_limits, _share_is_full("sport", "sport_share")),
+    ("event-type", _outranks_limits, _share_is_full("event_type", "type_share")),
+)
 
 
 def fill_sections(items: pd.DataFrame) -> list[tuple]:
-    """(section, position, cluster_id, skipped) for one edition; every choice depends on the earlier ones, so it is one small loop."""
-    limits = fixed.DIVERSITY
-    rows = list(items.itertuples(index=False))
-    allowed = {
-        "lead": lambda r: r.lead_ok, "wire": lambda r: r.wire_ok, "now": lambda r: r.now_ok,
-    }
-    fits = lambda r, s: bool(allowed[s](r)) if s in allowed else r.desk == s and bool(r.desk_ok)
-    used, placed, slate_teams, out = set(), [], {}, []
-    for section in SECTIONS:
-        depth = fixed.SLATE_DEPTH[section]
-        crossing = section in ("wire", "now")
-        teams, sports, kinds, filled = {}, {}, {}, 0
-        wanted = [r for r in rows if r.cluster_id not in used and (r.forced_section == section if r.forced_section in SECTIONS and fits(r, r.forced_section) else fits(r, section))]
-        for r in sorted(wanted, key=lambda r: (not r.pinned, -r.score, -fixed.SPORT_WEIGHT.get(r.sport, 0), r.cluster_id)):
-            if filled >= depth:
+    """(section, position, cluster_id, skipped) for one edition. Every choice depends on the page so far, a list of (section, item)."""
+    page: list[tuple] = []
+    out = []
+    for section, queue in _queues(items).items():
+        on_page = {o.cluster_id for _, o in page}
+        free = fixed.SLATE_DEPTH[section]
+        for item in queue[~queue["cluster_id"].isin(on_page)].itertuples(index=False):
+            if not free:
                 break
-            if section == "now" and r.score < limits["now_floor"] and not r.pinned:
-                continue
-            skip = None
-            close = lambda p: pd.isna(p.newest_at) or pd.isna(r.newest_at) or abs((p.newest_at - r.newest_at).total_seconds()) <= 86_400  # noqa: B023, E731
-            if not r.pinned and any(p.sport == r.sport and close(p) and _same_event(p, r, limits["same_event"]) for p in placed):
-                skip = "same-event"
-            free = r.urgency == "breaking-candidate" or r.pinned or (r.urgency != "normal" and r.domains >= limits["dominant_sources"])
-            if skip is None and not free:
-                if any(teams.get(t, 0) >= limits["team_section"] or slate_teams.get(t, 0) >= limits["team_slate"] for t in r.teams):
-                    skip = "team"
-                elif crossing and sports.get(r.sport, 0) + 1 > max(1, math.ceil(depth * limits["sport_share"])):
-                    skip = "sport"
-                elif crossing and r.event_type and kinds.get(r.event_type, 0) + 1 > max(1, math.ceil(depth * limits["type_share"])):
-                    skip = "event-type"
-            if skip:
-                out.append((section, None, r.cluster_id, skip))
+            if section == "now" and not item.pinned and item.score < fixed.DIVERSITY["now_floor"]:
                 continue
-            filled += 1
-            out.append((section, filled, r.cluster_id, None))
-            used.add(r.cluster_id)
-            placed.append(r)
-            for t in r.teams:
-                teams[t], slate_teams[t] = teams.get(t, 0) + 1, slate_teams.get(t, 0) + 1
-            sports[r.sport] = sports.get(r.sport, 0) + 1
-            kinds[r.event_type] = kinds.get(r.event_type, 0) + 1
+            reason = next((why for why, exempt, applies in RULES if not exempt(item) and applies(item, page, section)), None)
+            if reason is None:
+                free -= 1
+                page.append((section, item))
+            out.append((section, None if reason else fixed.SLATE_DEPTH[section] - free, item.cluster_id, reason))
     return out
 
 
@@ -99,7 +133,7 @@ def story_score(s: DataFrame, now: Column) -> Column:
     return F.coalesce(F.col("manual_override").cast("double"), computed)
 
 
-#: The older homepage's sections, depth and test, in order; a story may be used twice.
+#: The older homepage's sections, their depth and what they take, in order; a story may be used twice.
 HOMEPAGE = [
     ("lead", 1, lambda s: True), ("lead.supporting", 2, lambda s: True), ("wire", 8, lambda s: s.urgency in ("breaking", "developing")),
     ("now", 8, lambda s: True), ("run", 4, lambda s: s.sport == "basketball"), ("huddle", 4, lambda s: s.sport == "football"),

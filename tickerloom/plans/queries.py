@@ -372,9 +372,11 @@ SELECT h.id, o.type AS event_type, o.weight::BIGINT AS weight FROM h LEFT JOIN o
 
 @query(_event_sql())
 def event_rules(t):
+    """Each wording is matched once, however many reports carry it."""
     h = t("orders").select(F.col("o_orderkey").alias("id"), _synthetic_headline(F.col("o_orderkey")).alias("h"))
     first = F.get(classify.event_types(F.col("h"), F.size(text.extract_scores(F.col("h"))) > 0), F.lit(0))
-    return h.withColumn("e", first).select("id", F.col("e.type").alias("event_type"), F.col("e.weight").cast("long").alias("weight"))
+    typed = h.select("h").distinct().withColumn("e", first)
+    return h.join(typed, "h").select("id", F.col("e.type").alias("event_type"), F.col("e.weight").cast("long").alias("weight"))
 
 
 @query()
@@ -759,10 +761,10 @@ def provider_counts(t):
     return t("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_ts"))
 
 
-@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 15 MINUTES, ts)) AS start, count(*) AS n FROM (SELECT DISTINCT ON (user_id, event_type, date_trunc('hour', ts)) * FROM events WHERE event_id < 2000 ORDER BY user_id, event_type, date_trunc('hour', ts), ts, event_id) GROUP BY ALL")
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 15 MINUTES, ts)) AS start, count(*) AS n FROM (SELECT DISTINCT ON (user_id, event_type, date_trunc('hour', ts)) * FROM events ORDER BY user_id, event_type, date_trunc('hour', ts), ts, event_id) GROUP BY ALL")
 def quarter_hour_counts(t):
     """First sighting of each (user, type) an hour, counted by quarter-hour: the batch form of the streaming operators."""
-    return _quarter_hour_counts(t("events").filter("event_id < 2000"))
+    return _quarter_hour_counts(t("events"))
 
 
 def _quarter_hour_counts(events: DataFrame) -> DataFrame:
@@ -773,7 +775,7 @@ def _quarter_hour_counts(events: DataFrame) -> DataFrame:
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 15 MINUTES, ts)) AS start, count(*) AS n FROM (SELECT event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type, date_trunc('hour', ts)) GROUP BY ALL")
 def quarter_hour_counts_whole(t):
-    """The counts of quarter_hour_counts over every event; that query's SQL reads only event_id < 2000."""
+    """The counts of quarter_hour_counts, with SQL by groups instead of first rows."""
     return _quarter_hour_counts(t("events"))
 
 
@@ -868,3 +870,6 @@ def ingest_batch_items(t):
     )
     stored = p.filter("candidate_id % 3 = 0")
     return warehouse.ingest_batch(p.filter("candidate_id % 3 <> 0"), stored).select("candidate_id", "inserted")
+
+
+from tickerloom.plans import decisions  # noqa: E402, F401  registers its queries
