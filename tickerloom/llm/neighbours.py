@@ -20,7 +20,7 @@ from tickerloom.llm.common import materialize
 #: Vectors that graph and classifier are fitted on: one in ROWS_PER_SAMPLED, within these bounds; each part has SAMPLE_PER_PART of them.
 LEAST_SAMPLE, MOST_SAMPLE, ROWS_PER_SAMPLED, SAMPLE_PER_PART = 6000, 32_000, 16, 128
 #: Share of true neighbours that the number of probed parts must find, among sampled vectors that neither graph nor classifier has seen.
-RECALL = 0.97
+RECALL = 0.95
 #: Rows of one block of a part, and of one block of queries, at most.
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
 
