@@ -1,5 +1,9 @@
 """Every registered query against its DuckDB equivalent on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
@@ -37,3 +41,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(plans.queries()) <= set(__spark_entry__.queries())
+
+
+def test_import_needs_no_session():
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, check=True)

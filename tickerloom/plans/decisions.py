@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions import fixed, text, times
 from tickerloom.operators import clustering, editorial, health, ingest_unit, joins, ranking, warehouse
 from tickerloom.plans.queries import _CAND, _CLUSTERS, _LIST, _MEMBERS, _cand, _clusters, _members, query
 
-_K = F.col("k")
 _WHEN = "TIMESTAMP '2001-08-02'"
 
 
+def _k():
+    return F.col("k")
+
+
 def _when():
     return F.lit("2001-08-02").cast("timestamp")
 
 
-def _nth(words: list, at) -> F.Column:
+def _nth(words: list, at) -> Column:
     """The word at a position from 0; null for a missing one."""
     return F.element_at(F.array(*[F.lit(w) for w in words]), (at + 1).cast("int"))
 
@@ -44,10 +47,10 @@ SELECT k AS cluster_id, array_to_string(r, ',') AS reasons, CASE WHEN len(list_f
 def eligibility_reasons(t):
     """Every rule of eligibility with its state, over clusters in all combinations of signals."""
     c = _orders(t).select(
-        _K.alias("cluster_id"), F.when(_K % 11 == 0, "closed").when(_K % 11 == 1, "needs_review").otherwise("active").alias("status"), (_K % 5).alias("members"), (_K % 3).alias("titles"), (_K % 7 != 0).alias("headline_ok"),
-        (_K % 2).alias("betting"), F.when(_K % 13 == 0, "low").when(_K % 13 == 1, "medium").otherwise("high").alias("confidence"), (_K % 4).alias("enabled_members"),
-        F.when(_K % 8 == 1, 0).otherwise(1).alias("better_members"), F.when(_K % 6 != 0, F.col("day")).otherwise(_when()).alias("newest_at"), (_K % 19 == 0).cast("int").alias("risky_near_misses"),
-        F.when(_K % 17 == 0, "rejected").when(_K % 17 == 1, "held").otherwise("suggested").alias("item_status"),
+        _k().alias("cluster_id"), F.when(_k() % 11 == 0, "closed").when(_k() % 11 == 1, "needs_review").otherwise("active").alias("status"), (_k() % 5).alias("members"), (_k() % 3).alias("titles"), (_k() % 7 != 0).alias("headline_ok"),
+        (_k() % 2).alias("betting"), F.when(_k() % 13 == 0, "low").when(_k() % 13 == 1, "medium").otherwise("high").alias("confidence"), (_k() % 4).alias("enabled_members"),
+        F.when(_k() % 8 == 1, 0).otherwise(1).alias("better_members"), F.when(_k() % 6 != 0, F.col("day")).otherwise(_when()).alias("newest_at"), (_k() % 19 == 0).cast("int").alias("risky_near_misses"),
+        F.when(_k() % 17 == 0, "rejected").when(_k() % 17 == 1, "held").otherwise("suggested").alias("item_status"),
     )
     return ranking.eligibility(c, _when()).select("cluster_id", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"), "state")
 
@@ -73,10 +76,10 @@ SELECT k AS cluster_id, len(always) + len(list_filter(further, lambda x: x <> 0)
 def score_breakdown(t):
     """The itemised score of clusters in all combinations of signals."""
     c = _orders(t).select(
-        _K.alias("cluster_id"), _nth(_SPORTS, _K % 4).alias("sport"), _nth(_TIERS, _K % len(_TIERS)).alias("tier"), (_K % 30).cast("double").alias("latest_hours"), (_K % 30 + _K % 5).cast("double").alias("event_hours"),
-        F.get(F.array(*[F.lit(x) for x in _TYPES]), (F.col("c") % 6).cast("int")).alias("event_type"), (_K % 4 == 1).alias("stakes"), _nth(["normal", "developing", "breaking-candidate"], _K % 3).alias("urgency"),
-        _nth(["high", "medium", "low"], F.col("c") % 3).alias("confidence"), (F.col("c") % 25).alias("domains"), (_K % 9).alias("variants"), (_K % 4).alias("known_domains"), (_K % 6).alias("last_15m"),
-        (_K % 6 + F.col("c") % 3).alias("last_hour"), (F.col("c") % 4).alias("providers"), F.array().cast("array<struct<kind: string, amount: double>>").alias("overrides"),
+        _k().alias("cluster_id"), _nth(_SPORTS, _k() % 4).alias("sport"), _nth(_TIERS, _k() % len(_TIERS)).alias("tier"), (_k() % 30).cast("double").alias("latest_hours"), (_k() % 30 + _k() % 5).cast("double").alias("event_hours"),
+        F.get(F.array(*[F.lit(x) for x in _TYPES]), (F.col("c") % 6).cast("int")).alias("event_type"), (_k() % 4 == 1).alias("stakes"), _nth(["normal", "developing", "breaking-candidate"], _k() % 3).alias("urgency"),
+        _nth(["high", "medium", "low"], F.col("c") % 3).alias("confidence"), (F.col("c") % 25).alias("domains"), (_k() % 9).alias("variants"), (_k() % 4).alias("known_domains"), (_k() % 6).alias("last_15m"),
+        (_k() % 6 + F.col("c") % 3).alias("last_hour"), (F.col("c") % 4).alias("providers"), F.array().cast("array<struct<kind: string, amount: double>>").alias("overrides"),
     )
     return ranking.score_parts(c).select("cluster_id", F.size("parts").cast("long").alias("parts"), "score")
 
@@ -87,9 +90,9 @@ def score_breakdown(t):
 FROM (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 1 THEN '  ' ELSE o_orderpriority END AS h, CASE WHEN k % 5 = 0 THEN 'review' ELSE 'eligible' END AS state, ['suggested', 'held', 'rejected', 'approved'][(c % 4 + 1)::INT] AS status FROM o)"""
 )
 def approvals(t):
-    head = F.when(_K % 6 == 0, F.lit(None)).when(_K % 6 == 1, "  ").otherwise(F.col("o_orderpriority"))
-    state = F.when(_K % 5 == 0, "review").otherwise("eligible")
-    return _orders(t).select(_K.alias("cluster_id"), ranking.may_approve(head, state, _nth(["suggested", "held", "rejected", "approved"], F.col("c") % 4)).alias("may_approve"))
+    head = F.when(_k() % 6 == 0, F.lit(None)).when(_k() % 6 == 1, "  ").otherwise(F.col("o_orderpriority"))
+    state = F.when(_k() % 5 == 0, "review").otherwise("eligible")
+    return _orders(t).select(_k().alias("cluster_id"), ranking.may_approve(head, state, _nth(["suggested", "held", "rejected", "approved"], F.col("c") % 4)).alias("may_approve"))
 
 
 # --- clusters ------------------------------------------------------------------------------------------------------------
@@ -193,9 +196,9 @@ FROM (SELECT *, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 7 = 1 THEN ' ' ELSE '«'
 )
 def story_previews(t):
     items = _orders(t).select(
-        _K.alias("cluster_id"), F.when(_K % 7 == 0, F.lit(None)).when(_K % 7 == 1, " ").otherwise(F.concat(F.lit("«"), "o_orderpriority", F.lit("!» "), _K.cast("string"))).alias("headline"), F.lit("golf").alias("sport"),
-        F.when(_K % 5 == 0, "ineligible").otherwise("eligible").alias("eligibility"), _nth(["suggested", "held", "rejected", "approved"], F.col("c") % 4).alias("status"), _nth(["normal", "developing", "breaking-candidate"], _K % 3).alias("urgency"),
-        F.when(_K % 4 != 0, "s").alias("summary"), F.when(F.col("c") % 3 != 0, "i").alias("image"),
+        _k().alias("cluster_id"), F.when(_k() % 7 == 0, F.lit(None)).when(_k() % 7 == 1, " ").otherwise(F.concat(F.lit("«"), "o_orderpriority", F.lit("!» "), _k().cast("string"))).alias("headline"), F.lit("golf").alias("sport"),
+        F.when(_k() % 5 == 0, "ineligible").otherwise("eligible").alias("eligibility"), _nth(["suggested", "held", "rejected", "approved"], F.col("c") % 4).alias("status"), _nth(["normal", "developing", "breaking-candidate"], _k() % 3).alias("urgency"),
+        F.when(_k() % 4 != 0, "s").alias("summary"), F.when(F.col("c") % 3 != 0, "i").alias("image"),
     )
     return editorial.story_previews(items).select("story_id", "slug", "urgency", F.array_join("missing", ",").alias("missing"))
 
@@ -221,8 +224,8 @@ _RUNS = f"""{_ORDERS}, run AS (SELECT k AS run_id, c, CASE o_orderstatus WHEN 'P
 
 def _runs(t) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded")
-    started = F.timestamp_micros((F.unix_micros(_when()) - (_K % 61) * 60_000_000).cast("long"))
-    return _orders(t).select(_K.alias("run_id"), "c", status.alias("status"), started.alias("started_at"), F.when(F.col("o_orderstatus") == "F", "gone").alias("error_message"), F.lit(None).cast("timestamp").alias("finished_at"))
+    started = F.timestamp_micros((F.unix_micros(_when()) - (_k() % 61) * 60_000_000).cast("long"))
+    return _orders(t).select(_k().alias("run_id"), "c", status.alias("status"), started.alias("started_at"), F.when(F.col("o_orderstatus") == "F", "gone").alias("error_message"), F.lit(None).cast("timestamp").alias("finished_at"))
 
 
 @query(
@@ -248,8 +251,8 @@ def run_outcomes(t):
     c = F.col("c")
     state = _nth(["ok", "error", "throttled", "unavailable"], c % 4)
     return _orders(t).select(
-        _K.alias("unit"), warehouse.run_status(state, _K % 3, _K % 5).alias("run_status"), ingest_unit.feed_state(state, _K % 3, _K % 5).alias("feed_state"),
-        health.schedulable(_K % 2 != 0, c % 3 == 0, _K % 7 != 0, c % 5 != 0).alias("schedule"), ingest_unit.headline_kind((c % 3).cast("string"), ["1"]).alias("headline_kind"),
+        _k().alias("unit"), warehouse.run_status(state, _k() % 3, _k() % 5).alias("run_status"), ingest_unit.feed_state(state, _k() % 3, _k() % 5).alias("feed_state"),
+        health.schedulable(_k() % 2 != 0, c % 3 == 0, _k() % 7 != 0, c % 5 != 0).alias("schedule"), ingest_unit.headline_kind((c % 3).cast("string"), ["1"]).alias("headline_kind"),
     )
 
 
@@ -276,9 +279,9 @@ SELECT k AS id, s AS headline, array_to_string(list_filter(w, lambda x: (length(
 )
 def headline_words(t):
     """Headlines without the publisher, and their content words."""
-    first = F.when(_K % 4 == 0, "Two Lakers' guards - not three - sign ").when(_K % 4 == 1, "The Cubs’ star is Out for ").when(_K % 4 == 2, "SEVEN teams and A 5-man group, ").otherwise("Don't ")
+    first = F.when(_k() % 4 == 0, "Two Lakers' guards - not three - sign ").when(_k() % 4 == 1, "The Cubs’ star is Out for ").when(_k() % 4 == 2, "SEVEN teams and A 5-man group, ").otherwise("Don't ")
     last = F.when(F.col("c") % 3 == 0, " | Some Daily News").when(F.col("c") % 3 == 1, " – The Post").otherwise("")
-    h = _orders(t).select(_K.alias("id"), F.concat(first, "o_orderpriority", last).alias("h"))
+    h = _orders(t).select(_k().alias("id"), F.concat(first, "o_orderpriority", last).alias("h"))
     return h.select("id", text.strip_source_suffix(F.col("h")).alias("headline"), F.array_join(text.content_tokens(F.col("h"), ascii_only=True), " ").alias("tokens"))
 
 
@@ -288,9 +291,9 @@ def headline_words(t):
 )
 def headline_amounts(t):
     """Dollar amounts in whole dollars, however written."""
-    n = (_K % 900).cast("string")
+    n = (_k() % 900).cast("string")
     worth = F.when(F.col("c") % 4 == 0, n).when(F.col("c") % 4 == 1, F.concat(n, F.lit("K"))).when(F.col("c") % 4 == 2, F.concat(n, F.lit(".5 million"))).otherwise(F.concat(n, F.lit(",007")))
-    return _orders(t).select(_K.alias("id"), F.array_join(text.extract_amounts(F.concat(F.lit("Star signs $"), worth, F.lit(" deal"))), ",").alias("amount"))
+    return _orders(t).select(_k().alias("id"), F.array_join(text.extract_amounts(F.concat(F.lit("Star signs $"), worth, F.lit(" deal"))), ",").alias("amount"))
 
 
 @query(
@@ -309,9 +312,9 @@ SELECT k AS id, epoch_us(try_strptime(stamp, '%Y%m%d%H%M%S')) AS at_us FROM s"""
 )
 def stamps_parsed(t):
     """Fourteen-digit stamps as times; what is no real time is null."""
-    stamp = F.when(_K % 5 == 0, F.concat(F.lit("2001023"), (_K % 10).cast("string"), F.lit("101500"))).when(_K % 5 == 1, F.concat(F.lit("x"), _K.cast("string")))
-    stamp = stamp.otherwise(F.concat(F.date_format("day", "yyyyMMdd"), F.lpad((_K % 24).cast("string"), 2, "0"), F.lit("4500")))
-    return _orders(t).select(_K.alias("id"), F.unix_micros(times.parse_stamp(stamp)).alias("at_us"))
+    stamp = F.when(_k() % 5 == 0, F.concat(F.lit("2001023"), (_k() % 10).cast("string"), F.lit("101500"))).when(_k() % 5 == 1, F.concat(F.lit("x"), _k().cast("string")))
+    stamp = stamp.otherwise(F.concat(F.date_format("day", "yyyyMMdd"), F.lpad((_k() % 24).cast("string"), 2, "0"), F.lit("4500")))
+    return _orders(t).select(_k().alias("id"), F.unix_micros(times.parse_stamp(stamp)).alias("at_us"))
 
 
 @query(
@@ -322,11 +325,11 @@ FROM (SELECT k, {_LIST(_TYPES)}[(k % 6 + 1)::INT] AS a, {_LIST(_TYPES)}[(c % 6 +
 def pair_windows(t):
     """Hours that reports of one event may lie apart, by both event types."""
     kind = lambda at: F.get(F.array(*[F.lit(x) for x in _TYPES]), (at % 6).cast("int"))
-    return _orders(t).select(_K.alias("id"), times.fuzzy_window_hours(kind(_K), kind(F.col("c"))).cast("long").alias("hours"))
+    return _orders(t).select(_k().alias("id"), times.fuzzy_window_hours(kind(_k()), kind(F.col("c"))).cast("long").alias("hours"))
 
 
 @query(_ORDERS + "SELECT k AS id, epoch_us(day - to_minutes((15 * n)::BIGINT)) AS stamp FROM o, range(0, 4) r(n) WHERE k % 10 = 3")
 def recent_files(t):
     """The four quarter-hour files up to a time."""
-    rows = _orders(t).filter("k % 10 = 3").select(_K.alias("id"), F.explode(times.recent_stamps(F.col("day"), 4)).alias("s"))
+    rows = _orders(t).filter("k % 10 = 3").select(_k().alias("id"), F.explode(times.recent_stamps(F.col("day"), 4)).alias("s"))
     return rows.select("id", F.unix_micros("s").alias("stamp"))
