@@ -57,3 +57,54 @@ def stuck_runs(runs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
 def schedulable(approved: Column, manual_only: Column, enabled: Column, configured: Column) -> Column:
     """Why a provider is not scheduled, or "scheduled"."""
     return F.when(~approved, "not-approved").when(manual_only, "manual-only").when(~enabled, "disabled").when(~configured, "not-configured").otherwise("scheduled")
+
+
+STALE_MINUTES = 60
+
+
+def _history(runs: DataFrame, now: Column) -> DataFrame:
+    """One row on the runs that were no tests: the last success, the last run, and failures of the last 24 hours."""
+    real = runs.filter("trigger <> 'test'")
+    success = F.when(F.col("status") == "succeeded", F.struct("started_at", "run_id", F.coalesce("finished_at", "started_at").alias("at")))
+    recent_failure = (F.col("status") == "failed") & (F.col("started_at") >= now - F.expr("INTERVAL 24 HOURS"))
+    found = real.agg(F.max(success).alias("s"), F.max(F.struct("started_at", "run_id", "status", "error_message")).alias("l"), F.count_if(recent_failure).alias("failures_24h"))
+    return found.select(F.col("s.at").alias("last_success_at"), F.col("l.started_at").alias("last_run_at"), F.col("l.status").alias("last_status"), F.col("l.error_message").alias("last_error"), "failures_24h")
+
+
+def _side_by_side(*ones: DataFrame) -> DataFrame:
+    """Tables of one row each as one row."""
+    rows = ones[0]
+    for other in ones[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
+def _alerts(failed: str, stale: str, is_stale: Column) -> Column:
+    return F.array_compact(F.array(F.when(F.col("last_status") == "failed", failed), F.when(is_stale, stale)))
+
+
+def _minutes_since_success(now: Column) -> Column:
+    return (F.unix_micros(now) - F.unix_micros("last_success_at")) / 6e7
+
+
+def clustering_health(runs: DataFrame, unclustered: DataFrame, review: DataFrame, feed: DataFrame, now: Column) -> DataFrame:
+    """One row: run history, reports of the last 24 hours without a cluster, near misses under review, live clusters, alerts.
+
+    Stale: there are such reports and no success within STALE_MINUTES. Alerts are warnings: clusters are derived data.
+    """
+    waiting = unclustered.agg(F.count_if(F.col("fresh_at") >= now - F.expr("INTERVAL 24 HOURS")).alias("unclustered_recent"))
+    row = _side_by_side(_history(runs, now), waiting, review.agg(F.count(F.lit(1)).alias("ambiguous_open")), feed.agg(F.count(F.lit(1)).alias("live_clusters")))
+    late = F.coalesce(_minutes_since_success(now) >= STALE_MINUTES, F.lit(True))
+    return row.withColumn("alerts", _alerts("clustering-failed", "clustering-stale", (F.col("unclustered_recent") > 0) & late))
+
+
+def ranking_health(runs: DataFrame, items: DataFrame, now: Column) -> DataFrame:
+    """One row: run history, whole minutes since the last success, ranked items to show or review, held and approved ones, alerts.
+
+    Held: ineligible, held or rejected. Stale: the last success is STALE_MINUTES old; without any there is no such alert.
+    """
+    listed = F.col("rank").isNotNull() & F.col("eligibility").isin("eligible", "review")
+    held = F.col("status").isin("held", "rejected") | (F.col("eligibility") == "ineligible")
+    counts = items.agg(F.count_if(listed).alias("eligible_items"), F.count_if(held).alias("held_items"), F.count_if(F.col("status") == "approved").alias("approved_items"))
+    row = _side_by_side(_history(runs, now), counts).withColumn("success_age_minutes", F.floor(_minutes_since_success(now)))
+    return row.withColumn("alerts", _alerts("ranking-failed", "ranking-stale", F.col("success_age_minutes") >= STALE_MINUTES))

@@ -194,11 +194,11 @@ def rank(scored: DataFrame) -> DataFrame:
     """Adds position, for all but ineligible rows: score, sport weight, newest, id.
 
     Positions are a global order; rows are range-partitioned and sorted, and a partition's first position is the count before it.
+    The partitioning is checkpointed, as both readers must see the same one: the session needs a checkpoint folder.
     """
     weight = lookup(fixed.SPORT_WEIGHT, F.col("sport"), 0)
     order = [F.col("score").desc(), weight.desc(), F.col("newest_at").desc(), F.col("cluster_id").asc()]
-    ranged = scored.filter("state <> 'ineligible'").repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if ranged.sparkSession.sparkContext.getCheckpointDir() else ranged
+    ranged = scored.filter("state <> 'ineligible'").repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
     before = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).drop("n")
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     placed = ranged.withColumn("__within", within).join(before, "__part").withColumn("position", F.col("__before") + F.col("__within")).drop("__part", "__before", "__within")

@@ -141,6 +141,37 @@ def warehouse_stats(candidates: DataFrame) -> DataFrame:
     return totals
 
 
+def warehouse_report(candidates: DataFrame, observations: DataFrame, sources: DataFrame, rejections: DataFrame, runs: DataFrame, since: Column) -> DataFrame:
+    """Further (metric, key, value) rows: candidates since a time, observations, sources, rejections by reason, runs by status, quality."""
+    one = lambda df, **counts: df.agg(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("key"), c.cast("double").alias("value")) for m, c in counts.items()]).alias("r")).select(F.inline("r"))
+    by = lambda df, metric, key: df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(metric).alias("metric"), "key", "value")
+    n = F.count(F.lit(1))
+    parts = [
+        one(candidates, new_recent=F.count_if(F.col("discovered_at") >= since)),
+        one(observations, observations=n),
+        one(sources, sources=n, disabled_sources=F.count_if(~F.col("enabled"))),
+        one(rejections, rejections=n),
+        by(rejections.select(F.explode("reasons").alias("reason")), "by_reason", "reason"),
+        by(runs, "runs_by_status", "status"),
+        by(candidates, "by_quality", "quality"),
+    ]
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    return report
+
+
+def top_groups(candidates: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` headline groups of more than one candidate with the most sources, then the most candidates; ties by headline."""
+    repeated = headline_groups(candidates).filter("candidate_count > 1")
+    return repeated.orderBy(F.desc("source_count"), F.desc("candidate_count"), "normalized_headline", "headline_kind").limit(n)
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """The run that started last (ties to the larger id), as one row."""
+    return runs.agg(F.max_by(F.struct(*runs.columns), F.struct("started_at", "run_id")).alias("r")).filter("r is not null").select("r.*")
+
+
 def unclustered(candidates: DataFrame, members: DataFrame, since: Column | None = None, limit: int | None = None) -> DataFrame:
     """Candidates that belong to no cluster, oldest first: the work queue."""
     queue = candidates.join(members.select("candidate_id"), "candidate_id", "left_anti").withColumn("fresh_at", F.coalesce("published_at", "discovered_at"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import fixed, text, times
 from tickerloom.operators import clustering, editorial, health, ingest_unit, joins, ranking, warehouse
-from tickerloom.plans.queries import _CAND, _CLUSTERS, _LIST, _MEMBERS, _cand, _clusters, _members, query
+from tickerloom.plans.queries import _CAND, _CLUSTERS, _LIST, _MEMBERS, _REASONS, _cand, _clusters, _judged, _members, query
 
 _WHEN = "TIMESTAMP '2001-08-02'"
 
@@ -328,8 +328,77 @@ def pair_windows(t):
     return _orders(t).select(_k().alias("id"), times.fuzzy_window_hours(kind(_k()), kind(F.col("c"))).cast("long").alias("hours"))
 
 
-@query(_ORDERS + "SELECT k AS id, epoch_us(day - to_minutes((15 * n)::BIGINT)) AS stamp FROM o, range(0, 4) r(n) WHERE k % 10 = 3")
+@query(_ORDERS + "SELECT k AS id, epoch_us(day - to_minutes((15 * n)::BIGINT)) AS stamp FROM o, range(0, 4) r(n)")
 def recent_files(t):
     """The four quarter-hour files up to a time."""
-    rows = _orders(t).filter("k % 10 = 3").select(_k().alias("id"), F.explode(times.recent_stamps(F.col("day"), 4)).alias("s"))
+    rows = _orders(t).select(_k().alias("id"), F.explode(times.recent_stamps(F.col("day"), 4)).alias("s"))
     return rows.select("id", F.unix_micros("s").alias("stamp"))
+
+
+# --- health and reports ---------------------------------------------------------------------------------------------------
+
+_HISTORY = (
+    _RUNS
+    + f""", real AS (SELECT *, CASE WHEN c % 3 = 0 THEN started_at + INTERVAL 1 MINUTE END AS finished_at FROM run WHERE c % 5 > 0),
+h AS (SELECT (SELECT coalesce(finished_at, started_at) FROM real WHERE status = 'succeeded' ORDER BY started_at DESC, run_id DESC LIMIT 1) AS ok,
+  (SELECT status FROM real ORDER BY started_at DESC, run_id DESC LIMIT 1) AS last_status, (SELECT count(*) FROM real WHERE status = 'failed' AND started_at >= {_WHEN} - INTERVAL 24 HOURS) AS failures_24h)"""
+)
+
+
+def _told_runs(t) -> DataFrame:
+    ended = F.when(F.col("c") % 3 == 0, F.col("started_at") + F.expr("INTERVAL 1 MINUTE"))
+    return _runs(t).withColumns({"finished_at": ended, "trigger": F.when(F.col("c") % 5 == 0, "test").otherwise("schedule")})
+
+
+@query(
+    _HISTORY
+    + f""", u AS (SELECT count(*) AS n FROM o WHERE k % 3 > 0 AND day >= {_WHEN} - INTERVAL 24 HOURS), f AS (SELECT count(*) AS n FROM o WHERE k % 3 = 0), r AS (SELECT count(*) AS n FROM o WHERE o_orderstatus = 'P')
+SELECT epoch_us(ok) AS last_success_at, last_status, failures_24h, u.n AS unclustered_recent, r.n AS ambiguous_open, f.n AS live_clusters,
+  array_to_string(list_filter([CASE WHEN last_status = 'failed' THEN 'clustering-failed' END, CASE WHEN u.n > 0 AND coalesce(epoch_us({_WHEN}) - epoch_us(ok) >= 3600000000, true) THEN 'clustering-stale' END], lambda x: x IS NOT NULL), ',') AS alerts
+FROM h, u, f, r"""
+)
+def clusters_health(t):
+    o = _orders(t)
+    row = health.clustering_health(_told_runs(t), o.filter("k % 3 > 0").withColumn("fresh_at", F.col("day")), o.filter("o_orderstatus = 'P'"), o.filter("k % 3 = 0"), _when())
+    return row.select(F.unix_micros("last_success_at").alias("last_success_at"), "last_status", "failures_24h", "unclustered_recent", "ambiguous_open", "live_clusters", F.array_join("alerts", ",").alias("alerts"))
+
+
+@query(
+    _HISTORY
+    + f""", i AS (SELECT CASE WHEN k % 6 > 0 THEN k END AS rank, ['eligible', 'review', 'ineligible'][(k % 3 + 1)::INT] AS eligibility, ['suggested', 'approved', 'held', 'rejected'][(c % 4 + 1)::INT] AS status FROM o),
+n AS (SELECT count(*) FILTER (WHERE rank IS NOT NULL AND eligibility IN ('eligible', 'review')) AS eligible_items, count(*) FILTER (WHERE status IN ('held', 'rejected') OR eligibility = 'ineligible') AS held_items, count(*) FILTER (WHERE status = 'approved') AS approved_items FROM i)
+SELECT last_status, failures_24h, (epoch_us({_WHEN}) - epoch_us(ok)) // 60000000 AS success_age_minutes, eligible_items, held_items, approved_items,
+  array_to_string(list_filter([CASE WHEN last_status = 'failed' THEN 'ranking-failed' END, CASE WHEN epoch_us({_WHEN}) - epoch_us(ok) >= 3600000000 THEN 'ranking-stale' END], lambda x: x IS NOT NULL), ',') AS alerts FROM h, n"""
+)
+def rankings_health(t):
+    items = _orders(t).select(F.when(_k() % 6 > 0, _k()).alias("rank"), _nth(["eligible", "review", "ineligible"], _k() % 3).alias("eligibility"), _nth(["suggested", "approved", "held", "rejected"], F.col("c") % 4).alias("status"))
+    row = health.ranking_health(_told_runs(t), items, _when())
+    return row.select("last_status", "failures_24h", "success_age_minutes", "eligible_items", "held_items", "approved_items", F.array_join("alerts", ",").alias("alerts"))
+
+
+@query(
+    _REASONS
+    + """, run AS (SELECT o_orderstatus AS status FROM orders), src AS (SELECT DISTINCT source FROM documents)
+SELECT 'new_recent' AS metric, NULL AS key, count(*) FILTER (WHERE discovered_at >= TIMESTAMP '2024-01-02')::DOUBLE AS value FROM cand UNION ALL SELECT 'observations', NULL, count(*)::DOUBLE FROM events
+UNION ALL SELECT 'sources', NULL, count(*)::DOUBLE FROM src UNION ALL SELECT 'disabled_sources', NULL, (count(*) FILTER (WHERE source IN ('src3', 'src7')))::DOUBLE FROM src
+UNION ALL SELECT 'rejections', NULL, (count(*) FILTER (WHERE len(reasons) > 0))::DOUBLE FROM r UNION ALL SELECT 'by_reason', reason, count(*)::DOUBLE FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason
+UNION ALL SELECT 'runs_by_status', status, count(*)::DOUBLE FROM run GROUP BY status UNION ALL SELECT 'by_quality', confidence, count(*)::DOUBLE FROM cand GROUP BY confidence"""
+)
+def warehouse_details(t):
+    sources = t("documents").select("source").distinct().withColumn("enabled", ~F.col("source").isin("src3", "src7"))
+    rejected = _judged(t).filter(F.size("reasons") > 0)
+    return warehouse.warehouse_report(_cand(t).withColumn("quality", F.col("confidence")), t("events"), sources, rejected, t("orders").withColumnRenamed("o_orderstatus", "status"), F.lit("2024-01-02").cast("timestamp"))
+
+
+@query(
+    _CAND
+    + """SELECT normalized_headline, headline_kind, count(DISTINCT source) AS source_count, count(*) AS candidate_count FROM cand GROUP BY normalized_headline, headline_kind HAVING count(*) > 1
+ORDER BY source_count DESC, candidate_count DESC, normalized_headline, headline_kind LIMIT 5"""
+)
+def top_headline_groups(t):
+    return warehouse.top_groups(_cand(t)).select("normalized_headline", "headline_kind", "source_count", "candidate_count")
+
+
+@query(_RUNS + "SELECT run_id, status, epoch_us(started_at) AS started_at FROM run ORDER BY run.started_at DESC, run_id DESC LIMIT 1")
+def newest_run(t):
+    return warehouse.latest_run(_runs(t)).select("run_id", "status", F.unix_micros("started_at").alias("started_at"))

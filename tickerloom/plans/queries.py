@@ -437,6 +437,18 @@ def _members(t) -> DataFrame:
     )
 
 
+def _profiled_members(t) -> DataFrame:
+    n, part = F.col("l_linenumber"), F.col("l_partkey") % 3
+    return _members(t).withColumns(
+        {
+            "discovered_at": F.col("fresh_at"),
+            "published_at": F.when(n % 3 > 0, F.timestamp_micros(F.unix_micros("fresh_at") - n.cast("long") * 3_600_000_000)),
+            "sport": F.concat(F.lit("sport"), (F.col("l_suppkey") % 4).cast("string")),
+            "league": F.when(part > 0, F.concat(F.lit("league"), part.cast("string"))),
+        }
+    )
+
+
 @query(
     _MEMBERS
     + """, n AS (SELECT cluster_id, event_type, count(*) AS n FROM m WHERE event_type IS NOT NULL GROUP BY ALL),
@@ -446,7 +458,22 @@ SELECT m.cluster_id, count(*) AS candidate_count, count(DISTINCT source) AS sour
 FROM m LEFT JOIN mo ON mo.cluster_id = m.cluster_id GROUP BY m.cluster_id"""
 )
 def cluster_aggregate(t):
-    return clustering.cluster_aggregates(_members(t)).withColumns({c: F.unix_micros(c) for c in ("first_seen_at", "last_seen_at")})
+    found = clustering.cluster_aggregates(_profiled_members(t))
+    return found.select("cluster_id", "candidate_count", "source_count", _micros("first_seen_at"), _micros("last_seen_at"), "confidence", "event_type")
+
+
+_MODE = lambda c: f"SELECT cluster_id, {c} FROM (SELECT cluster_id, {c}, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, {c}) AS r FROM p WHERE {c} IS NOT NULL GROUP BY cluster_id, {c}) WHERE r = 1"
+
+
+@query(
+    _MEMBERS
+    + f""", p AS (SELECT *, CASE WHEN l_linenumber % 3 > 0 THEN fresh_at - to_hours(l_linenumber) END AS published_at, 'sport' || l_suppkey % 4 AS sport, CASE WHEN l_partkey % 3 > 0 THEN 'league' || l_partkey % 3 END AS league FROM m),
+s AS ({_MODE("sport")}), l AS ({_MODE("league")})
+SELECT p.cluster_id, any_value(s.sport) AS sport, any_value(l.league) AS league, epoch_us(min(published_at)) AS first_published_at, epoch_us(max(published_at)) AS last_published_at
+FROM p LEFT JOIN s ON s.cluster_id = p.cluster_id LEFT JOIN l ON l.cluster_id = p.cluster_id GROUP BY p.cluster_id"""
+)
+def cluster_profile(t):
+    return clustering.cluster_aggregates(_profiled_members(t)).select("cluster_id", "sport", "league", _micros("first_published_at"), _micros("last_published_at"))
 
 
 @query(
@@ -826,7 +853,7 @@ def list_items(t):
 SELECT cluster_id, source_count, epoch_us(last_seen_at) AS last_seen_at FROM g WHERE confidence = 'high' AND source_count >= 4 ORDER BY source_count DESC, g.last_seen_at DESC, cluster_id LIMIT 200"""
 )
 def list_clusters(t):
-    feed = clustering.cluster_aggregates(_members(t)).withColumn("sport", F.lit("golf"))
+    feed = clustering.cluster_aggregates(_profiled_members(t)).withColumn("sport", F.lit("golf"))
     return editorial.list_clusters(feed, min_confidence="high", min_sources=4, by_sources=True, limit=200).select("cluster_id", "source_count", _micros("last_seen_at"))
 
 
