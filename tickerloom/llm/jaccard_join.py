@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import doc_batches, materialize, mix, shingle_hashes, word_hashes
+from tickerloom.llm.common import discard, doc_batches, materialize, mix, shingle_hashes, word_hashes
 
 WIDTH, PERCENT = 5, 80
 #: Counters that n-grams are counted in for the global order (a few megabytes, whatever the corpus), and their blocks.
@@ -32,11 +33,11 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
-def set_class(shingles: np.ndarray) -> int:
-    """One number for a set: equal sets, equal numbers."""
+def set_class(shingles: np.ndarray) -> bytes:
+    """128 bits for a set, of two separate sums: equal sets have equal bits, and different sets do not meet by chance even among 10**12."""
     with np.errstate(over="ignore"):
-        total = mix(shingles ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64) + np.uint64(len(shingles))
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+        totals = [mix(shingles ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(shingles)) for salt in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
+    return mix(np.array(totals, np.uint64)).tobytes()
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     flush()
                     held = 0
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, bits_of), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bits, bits_of), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         flush()
         for block in range(len(counts) >> BLOCK_LOG):
             part = counts[block << BLOCK_LOG : (block + 1) << BLOCK_LOG]
@@ -85,9 +86,9 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 small = np.minimum(part, 255).astype(np.uint8)
                 big = at[part[at] >= 255]
                 packed = np.uint32(len(big)).tobytes() + big.astype("<u4").tobytes() + part[big].astype("<u4").tobytes() + small.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, bits_of), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, bits_of), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, bits array<long>, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls binary, bits array<long>, block int, counts binary")
 
 
 def _levels(described: DataFrame) -> np.ndarray:
@@ -149,11 +150,12 @@ def prefix_entries(docs: DataFrame, levels, width: int, percent: int) -> DataFra
                     sizes.append(len(s))
                 if keys and (k + 1 == len(texts) or k % 1000 == 999):
                     lengths = np.array([len(x) for x in keys])
-                    columns = [np.concatenate(keys), np.repeat(np.array(classes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cls", "n", "pos"])
+                    of_set = np.repeat(np.arange(len(classes)), lengths)
+                    columns = [pa.array(np.concatenate(keys)), pa.array(classes, pa.binary()).take(pa.array(of_set)), pa.array(np.array(sizes, np.int32)[of_set]), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "cls", "n", "pos"])
                     keys, classes, sizes = [], [], []
 
-    return docs.select("text").mapInArrow(run, "key long, cls long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "key long, cls binary, n int, pos int")
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
@@ -166,8 +168,9 @@ def shared_entries(entries: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             both = pa.concat_batches([last, batch]) if last is not None else batch
-            key, cls = both.column("key").to_numpy(), both.column("cls").to_numpy()
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+            key, cls = both.column("key").to_numpy(), both.column("cls")
+            other = pc.not_equal(cls.slice(1), cls.slice(0, len(cls) - 1)).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | other])
             at = np.flatnonzero(new)
             k = key[at]
             same = k[1:] == k[:-1]
@@ -182,7 +185,7 @@ def shared_entries(entries: DataFrame) -> DataFrame:
             last, last_out = both.slice(int(at[-1]), 1), bool(out[-1])  # a class's later copies are dropped
 
     dealt = entries.repartition("key").sortWithinPartitions("key", "cls")
-    return dealt.mapInArrow(run, "key long, cls long, n int, pos int")
+    return dealt.mapInArrow(run, "key long, cls binary, n int, pos int")
 
 
 def segments(docs: DataFrame, classes: DataFrame, levels, width: int) -> DataFrame:
@@ -201,13 +204,13 @@ def segments(docs: DataFrame, classes: DataFrame, levels, width: int) -> DataFra
                 order = np.argsort(fragment, kind="stable")
                 found, sizes = np.unique(fragment, return_counts=True)
                 grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(s[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([cls] * len(found), pa.int64()), pa.array(found, pa.int32()), grams], ["cls", "fragment", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([cls] * len(found), pa.binary()), pa.array(found, pa.int32()), grams], ["cls", "fragment", "grams"])
 
     wanted = classes.select(F.col("rep").alias("doc_id"), "cls")
     if wanted.count() <= MOST_BROADCAST:  # two numbers a row: at most some tens of megabytes; beyond that the texts are shuffled
         wanted = F.broadcast(wanted)
     chosen = docs.select("doc_id", "text").join(wanted, "doc_id")
-    return chosen.select("cls", "text").mapInArrow(run, "cls long, fragment int, grams array<long>").dropDuplicates(["cls", "fragment"])
+    return chosen.select("cls", "text").mapInArrow(run, "cls binary, fragment int, grams array<long>").dropDuplicates(["cls", "fragment"])
 
 
 def _differing_bits() -> Column:
@@ -246,14 +249,16 @@ def links_of(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): every linked node's smallest reachable node, by hooking to neighbours' labels and jumping along them."""
     both = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
+    labels = written = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         stepped = materialize(hooked.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = stepped.select("node", "label")
+        discard(written)
+        labels, written = stepped.select("node", "label"), stepped
         if stepped.filter(F.col("old") != F.col("label")).isEmpty():
+            discard(both)
             return labels
     raise RuntimeError("components did not settle")
 
@@ -265,7 +270,7 @@ def _could_link(percent: int):
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, where) -> DataFrame:
-    """Distinct candidate pairs of left and right entries with one key; the smaller class number first."""
+    """Distinct candidate pairs of left and right entries with one key; the smaller class first."""
     side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "key"])
     met = side(left, "a").join(side(right, "b"), "key").filter((F.col("cls_a") != F.col("cls_b")) & _could_link(percent) & where)
     low = F.col("cls_a") < F.col("cls_b")
@@ -306,7 +311,9 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         segs = materialize(segments(docs, candidates.join(ends, "cls"), levels, width), f"segments{label}")
         rep = lambda s: candidates.select(F.col("cls").alias(s), F.col("rep").alias(f"rep_{s}"))
         new = links_of(close, segs, percent).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        return materialize(new if links is None else new.unionByName(links), f"links{label}")
+        found = materialize(new if links is None else new.unionByName(links), f"links{label}")
+        discard(close, segs)
+        return found
 
     def open_entries(links: DataFrame) -> DataFrame:
         """Entries of keys whose classes are in several components, with their components."""
@@ -314,7 +321,9 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         of = materialize(candidates.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("comp")), "comps")
         within = shared.join(of, "cls")
         several = within.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        return materialize(within.join(several, "key"), "open")
+        found = materialize(within.join(several, "key"), "open")
+        discard(of)
+        return found
 
     first = F.min(F.struct("pos", "n", "cls")).alias("l")
     leader = shared.groupBy("key").agg(first).select("key", "l.cls", "l.n", "l.pos")
@@ -322,8 +331,10 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     still = open_entries(links)
     leaders = still.groupBy("key", "comp").agg(first).select("key", "comp", "l.cls", "l.n", "l.pos")
     links = grown(links, _pairs(still, leaders, percent, F.col("comp_a") != F.col("comp_b")), "1")
+    discard(still)
     still = open_entries(links)
     links = grown(links, _pairs(still, still, percent, F.col("comp_a") < F.col("comp_b")), "2")
+    discard(still, shared, candidates, bits)
 
     label = components(links)
     of_class = materialize(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("component")), "components")
