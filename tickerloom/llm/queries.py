@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import decontamination, jaccard_join, line_dedup, neighbours, packing, quality, secrets, token_counts, token_files, toxicity
+from tickerloom.llm import decontamination, divergence, embedding_dedup, jaccard_join, line_dedup, neighbours, packing, quality, secrets, token_counts, token_files, toxicity, whitening
 from tickerloom.llm.common import new_path
 
 
@@ -64,9 +64,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"), "complete")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_packing, op4_quality, op5_decontamination, op6_toxicity, op7_token_files, op8_line_dedup, op9_jaccard_join, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_packing, op4_quality, op5_decontamination, op6_toxicity, op7_token_files, op8_line_dedup, op9_jaccard_join, op10_secret_scans, op11_source_divergence, op12_embedding_dedup, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.SQL, "op8_line_dedup": line_dedup.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op8_line_dedup": line_dedup.SQL, "op11_source_divergence": divergence.oracle()}
