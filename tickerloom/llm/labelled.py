@@ -25,7 +25,8 @@ def class_counts(labels: DataFrame, label: str, folds: int, fold_out: int) -> di
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold_out: int, most: int) -> DataFrame:
     """(text, y) of at most ``most`` labelled training documents of each class, taken by a hash of doc_id.
 
-    Only labels are sampled; a label whose document is missing is lost. A doc_id labelled twice counts with its larger label.
+    Only labels are sampled; a label whose document is missing is lost. A doc_id labelled twice counts with its larger label; of
+    several rows of a doc_id the smallest text counts.
     """
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold_out))
     one = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -34,4 +35,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         some = one.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * most rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")

@@ -61,7 +61,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s["layers"] == "")
     of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [of_kind(k) for k in secrets.KINDS]
-    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"), "complete")
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"))
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,10 @@ _URL_PACKED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd
 _BREAK = re.compile(rb"[^A-Za-z0-9+/_=.%\\&#;{}\s-]")
 #: Decompressed text is scanned in blocks of so many bytes or more, which overlap by OVERLAP or more and hold whole runs.
 BLOCK, OVERLAP = 8 << 20, 1 << 16
+#: Streams in streams that are read through one another.
+STREAMS = 32
 
-_ROW = "doc_id long, secrets array<struct<kind: string, start: long, end: long, layers: string, value: string>>, complete boolean"
+_ROW = "doc_id long, secrets array<struct<kind: string, start: long, end: long, layers: string, value: string>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -153,21 +155,31 @@ def _up_to_fault(stream, rest: bytes) -> Iterator[bytes]:
                 yield block
 
 
-def _unpacked(chunks: Iterator[bytes], path: str, whole: tuple[int, int], above: frozenset = frozenset()) -> Iterator[_Layer]:
-    """Layers of a compressed stream. A stream in it is unwrapped before anything is read as text, unless it unwraps to itself."""
-    pieces = _inflated(chunks)
-    first = b""
-    while len(first) < 3 and (piece := next(pieces, b"")):
-        first += piece
-    if not first:
-        return
-    path += "compressed>"
-    digest = hashlib.blake2b(first, digest_size=16).digest()
-    if _packed(first) and digest not in above:
-        test = next(_inflated(iter([first])), None)  # nothing: text that only looks like a stream
-        if test is not None:
-            yield from _unpacked(itertools.chain([first], pieces), path, whole, above | {digest})
+def _unpacked(chunks: Iterator[bytes], path: str, whole: tuple[int, int]) -> Iterator[_Layer]:
+    """Layers of a compressed stream. A stream in it is unwrapped before anything is read as text, unless it unwraps to itself.
+
+    Streams in streams are read through one another, STREAMS at a time; then what has come through is held as bytes, so that
+    neither depth nor one large stream inflates without bound.
+    """
+    above: set[bytes] = set()
+    depth = 0
+    while True:
+        pieces = _inflated(chunks)
+        first = b""
+        while len(first) < 3 and (piece := next(pieces, b"")):
+            first += piece
+        if not first:
             return
+        path += "compressed>"
+        digest = hashlib.blake2b(first, digest_size=16).digest()
+        # nothing inflated: text that only looks like a stream
+        if not _packed(first) or digest in above or next(_inflated(iter([first])), None) is None:
+            break
+        above.add(digest)
+        depth += 1
+        chunks = itertools.chain([first], pieces)
+        if depth % STREAMS == 0:
+            chunks = iter([b"".join(chunks)])
     held, size = [first], len(first)
     for piece in pieces:
         held.append(piece)
@@ -272,8 +284,8 @@ def _children(layer: _Layer) -> Iterator[_Layer | None]:
         yield child
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, str, str, str]], bool]:
-    """All secrets of a text as (start, end, kind, layers, value), and whether every layer was scanned (always true).
+def scan(text: str) -> list[tuple[int, int, str, str, str]]:
+    """All secrets of a text as (start, end, kind, layers, value); every layer is scanned.
 
     Depth first: a layer is searched when it is made, then unwrapped in every way that changes it and let go, so only the layers
     above the current one are held, and a digest of each. A layer whose text was seen before (in the same place, as far out) is not
@@ -300,7 +312,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str, str, str]], bool]:
                 found[at] = (depth, layer.path, layer.text[start:end])
         stack.append(_children(layer))
         del layer
-    return _ordered({k: v[1:] for k, v in found.items()}), True
+    return _ordered({k: v[1:] for k, v in found.items()})
 
 
 def _ordered(found: dict) -> list[tuple[int, int, str, str, str]]:
@@ -309,20 +321,21 @@ def _ordered(found: dict) -> list[tuple[int, int, str, str, str]]:
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, secrets, complete of every document; secrets by start, kind (assign, access, hex), end; layers "" for the text itself.
+    """doc_id, secrets of every document; secrets by start, kind (assign, access, hex), end; layers "" for the text itself.
 
     Offsets are code points of the document's text, end exclusive; a secret in a decoded layer has the span that it was
     decoded from (characters for URL and Unicode escapes, the characters that hold its bytes for base64, the whole run for
     compressed data). Null or empty text: no secrets. Repeated rows: scanned each. Null doc_id: kept. Empty table: no
-    rows. Other columns are left out. Documents are independent: no shuffle.
+    rows. Ties (one span in several layers): the outermost. A very long text is held once with its offsets in each layer above the
+    current one. Other columns are left out. Documents are independent: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("layers", pa.string()), ("value", pa.string())]))
         for batch, texts in doc_batches(batches):
             results = [scan(t.decode("utf-8", "replace")) for t in texts]
-            secrets = [[{"start": s, "end": e, "kind": k, "layers": p, "value": v} for s, e, k, p, v in rows] for rows, _ in results]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(secrets, kind_of), pa.array([c for _, c in results])], ["doc_id", "secrets", "complete"])
+            secrets = [[{"start": s, "end": e, "kind": k, "layers": p, "value": v} for s, e, k, p, v in rows] for rows in results]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(secrets, kind_of)], ["doc_id", "secrets"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _ROW)
 
