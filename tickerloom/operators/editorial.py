@@ -55,10 +55,29 @@ def source_summary(members: DataFrame) -> DataFrame:
     return n.withColumn("nth", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("n").desc(), "domain")))
 
 
-def story_previews(items: DataFrame) -> DataFrame:
-    """Items that may be shown, as (story_id, slug, headline, sport, urgency, missing): a headline, eligible, not held or rejected."""
+#: What a preview never has: nothing in the warehouse supplies it.
+ABSENT = ["deck", "byline", "image", "articleBody", "slug", "credibilityTier"]
+
+
+def story_previews(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """Items that may be shown: a headline, not ineligible, not held or rejected; with the representative's attribution and all reports.
+
+    items: cluster_id, headline, sport, eligibility, status, urgency. sources: cluster_id, publisher, domain, url, quality, is_representative, nth
+    (their order, see supporting_sources). What a story lacks is named in ``missing``, never made up.
+    """
     safe = (F.trim(F.coalesce("headline", F.lit(""))) != "") & (F.col("eligibility") != "ineligible") & ~F.col("status").isin("held", "rejected")
-    slug = F.regexp_replace(F.regexp_replace(F.lower("headline"), "[^a-z0-9]+", "-"), "(^-+|-+$)", "")
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("summary", "image")]))
-    urgency = lookup({"breaking-candidate": "developing", "developing": "developing", "normal": "none"}, F.col("urgency"), "none")
-    return items.filter(safe).select(F.col("cluster_id").alias("story_id"), slug.alias("slug"), "headline", "sport", urgency.alias("urgency"), missing.alias("missing"))
+    report = F.struct("nth", "publisher", "domain", "url", "quality", "is_representative")
+    by_cluster = sources.groupBy("cluster_id").agg(F.array_sort(F.collect_list(report)).alias("supporting"))  # a row a publisher
+    shown = items.filter(safe).join(by_cluster, "cluster_id", "left")
+    one = F.get(F.filter("supporting", lambda r: r["is_representative"]), F.lit(0))
+    return shown.select(
+        F.col("cluster_id").alias("story_id"),
+        "headline",
+        "sport",
+        F.when(F.col("urgency") == "normal", "none").otherwise("developing").alias("urgency"),
+        (F.col("urgency") == "breaking-candidate").alias("breaking_candidate"),
+        (F.col("status") == "approved").alias("ready"),
+        F.when(one.isNotNull(), F.struct(one["publisher"].alias("publisher"), one["domain"].alias("domain"), one["url"].alias("url"))).alias("attribution"),
+        F.coalesce("supporting", F.array().cast("array<struct<nth: int, publisher: string, domain: string, url: string, quality: string, is_representative: boolean>>")).alias("supporting"),
+        F.array(*[F.lit(x) for x in ABSENT]).alias("missing"),
+    )

@@ -11,30 +11,80 @@ STATES = ["healthy", "unknown", "disabled", "degraded", "stale", "down"]
 
 
 def leading_streaks(runs: DataFrame, key: str, at: str, recent: int = 30) -> DataFrame:
-    """For each key: how many of its newest finished runs in a row failed, and how many brought nothing; of its ``recent`` newest."""
-    newest = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col("run_id").desc())
-    finished = runs.filter("status <> 'running'").withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= recent)
-    first_not = lambda test: F.coalesce(F.min(F.when(~test, F.col("__n"))) - 1, F.count(F.lit(1)))
-    return finished.groupBy(key).agg(
-        first_not(F.col("status") == "failed").alias("failures"),
-        first_not(F.col("returned") == 0).alias("empties"),
-        F.max(F.when(F.col("status") != "failed", F.col(at))).alias("last_success_at"),
-        F.sum("returned").alias("returned"),
+    """For each key, of its ``recent`` newest runs (test runs must be left out before): how many newest finished ones in a row failed, were throttled
+    and were empty; the last success (finished well and answered), last attempt, newest finished run's status, newest error.
+
+    Needs run_id, status, provider_state and, as far as known, finished_at and error_message.
+    """
+    column = lambda c, kind: F.col(c) if c in runs.columns else F.lit(None).cast(kind)
+    tidy = runs.select(key, F.col(at).alias("__at"), "run_id", "status", "provider_state", column("finished_at", "timestamp").alias("__end"), column("error_message", "string").alias("__error"))
+    kept = tidy.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("__at").desc(), F.col("run_id").desc()))).filter(F.col("__n") <= recent)
+    done = F.col("status") != "running"
+    place = F.sum(done.cast("int")).over(Window.partitionBy(key).orderBy("__n").rowsBetween(Window.unboundedPreceding, 0))
+    kept = kept.withColumns({"__done": done, "__k": place, "__end": F.coalesce("__end", "__at")})
+    n = F.sum(F.col("__done").cast("long"))
+    streak = lambda test: F.coalesce(F.min(F.when(F.col("__done") & ~F.coalesce(test, F.lit(False)), F.col("__k"))) - 1, n).cast("long")
+    good = F.col("status").isin("succeeded", "partial") & F.col("provider_state").isin("ok", "empty")
+    first = lambda value, when: F.min_by(value, F.when(F.col("__done") & F.coalesce(when, F.lit(False)), F.col("__k")))
+    return kept.groupBy(key).agg(
+        streak(F.col("status") == "failed").alias("failures"),
+        streak(F.col("provider_state") == "throttled").alias("throttles"),
+        streak(F.col("provider_state") == "empty").alias("empties"),
+        first(F.col("__end"), good).alias("last_success_at"),
+        F.max("__at").alias("last_attempt_at"),
+        first(F.col("status"), F.lit(True)).alias("latest_status"),
+        first(F.struct(F.col("__error").alias("message"), F.col("__end").alias("at")), F.coalesce(F.col("__error"), F.lit("")) != "").alias("latest_error"),
         F.count(F.lit(1)).alias("runs"),
     )
 
 
-def provider_state(df: DataFrame, now: Column, stale_minutes: int, down_failures: int = 3, degraded_empties: int = 24) -> Column:
-    """disabled, unknown, down, stale, degraded or healthy; the first that holds."""
-    since = (F.unix_micros(now) - F.unix_micros("last_success_at")) / 6e7
-    return (
-        F.when(~F.col("enabled"), "disabled")
-        .when(F.coalesce("runs", F.lit(0)) == 0, "unknown")
-        .when(F.col("failures") >= down_failures, "down")
-        .when(F.col("last_success_at").isNull() | (since >= stale_minutes), "stale")
-        .when((F.col("failures") > 0) | (F.col("empties") >= degraded_empties), "degraded")
-        .otherwise("healthy")
-    )
+def recent_totals(runs: DataFrame, key: str, at: str, now: Column, minutes: int = 60) -> DataFrame:
+    """For each key: runs started in the last ``minutes`` minutes and the sums of their counters."""
+    since = runs.filter(F.unix_micros(F.col(at)) >= F.unix_micros(now) - minutes * 60_000_000)
+    return since.groupBy(key).agg(F.count(F.lit(1)).alias("recent_runs"), *[F.sum(c).alias(f"recent_{c}") for c in ("returned", "accepted", "rejected", "inserted") if c in runs.columns])
+
+
+def provider_health(providers: DataFrame, runs: DataFrame, key: str, at: str, now: Column) -> DataFrame:
+    """Providers with state, reasons and alerts.
+
+    The state is the first that holds of disabled, unknown, down, stale, degraded, healthy; alerts (code, severity) hold independently of
+    it. providers: key, db_status (active, degraded, disabled or null), schedulable, stale_minutes, down_failures, degraded_empties (null: never),
+    lag_files (null: no files), lag_degraded, lag_stale. runs: see leading_streaks, without test runs; a provider has at most 30 rows after it.
+    """
+    p = providers.join(leading_streaks(runs, key, at), key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    since = F.floor((F.unix_micros(now) - F.unix_micros("last_success_at")) / 60_000_000)
+    off, closed, never = F.coalesce(F.col("db_status") == "disabled", F.lit(False)), ~F.col("schedulable"), zero("runs") == 0
+    down = zero("failures") >= F.col("down_failures")
+    quiet, lagging = since.isNull() | (since > F.col("stale_minutes")), F.coalesce(F.col("lag_files") >= F.col("lag_stale"), F.lit(False))
+    weak = {
+        "marked-degraded": F.col("db_status") == "degraded",
+        "partial": F.col("latest_status") == "partial",
+        "failures": zero("failures") >= 1,
+        "throttles": zero("throttles") >= 1,
+        "empties": (F.col("degraded_empties") > 0) & (zero("empties") >= F.col("degraded_empties")),
+        "lag": F.col("lag_files") >= F.col("lag_degraded"),
+    }
+    named = lambda tests: F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
+    faults = named(weak)
+    state = F.when(off | closed, "disabled").when(never, "unknown").when(down, "down").when(quiet | lagging, "stale").when(F.size(faults) > 0, "degraded").otherwise("healthy")
+    p = p.withColumns({"state": state, "minutes_since_success": since})
+    reasons = (
+        F.when(off, F.array(F.lit("switched-off"))).when(closed, F.array(F.lit("not-schedulable"))).when(never, F.array(F.lit("never-run"))).when(down, F.array(F.lit("failures")))
+        .when(quiet | lagging, named({"no-success": quiet, "lag": lagging})).when(F.size(faults) > 0, faults).otherwise(F.array(F.lit("recent-success")))
+    )
+    watched = ~off & F.col("schedulable")
+    alerts = [
+        ("provider-disabled", "info", off),
+        ("provider-never-run", "info", ~off & ~closed & never),
+        ("provider-down", "critical", F.col("state") == "down"),
+        ("provider-stale", "critical", F.col("state") == "stale"),
+        ("consecutive-failures", F.when(down, "critical").otherwise("warning"), watched & (zero("failures") >= 2)),
+        ("consecutive-throttles", "warning", watched & (zero("throttles") >= 2)),
+        ("gkg-file-lag", F.when(lagging, "critical").otherwise("warning"), watched & (F.col("lag_files") >= F.col("lag_degraded"))),
+    ]
+    rows = [F.when(when, F.struct(F.lit(code).alias("code"), (F.lit(level) if isinstance(level, str) else level).alias("severity"))) for code, level, when in alerts]
+    return p.withColumns({"reasons": reasons, "alerts": F.array_compact(F.array(*rows))})
 
 
 def overall_state(states: DataFrame) -> DataFrame:

@@ -222,11 +222,11 @@ def active_overrides(log: DataFrame) -> DataFrame:
 
 
 def upsert_items(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored items (cluster_id, headline, score, status) after a run: new ones get an initial status, known ones keep theirs, but an
+    """Stored items (cluster_id, headline, score, status) after a run: new ones are candidates or, if their eligibility is in review, in review; known ones keep their status, but an
     approved item whose headline changed goes back to review."""
     new = fresh.select("cluster_id", F.col("headline").alias("__h"), F.col("score").alias("__s"), "eligibility")
     both = stored.withColumn("__stored", F.lit(True)).join(new.withColumn("__fresh", F.lit(True)), "cluster_id", "full")
-    first = F.when(F.col("eligibility") == "eligible", "suggested").otherwise("review")
+    first = F.when(F.col("eligibility") == "review", "review").otherwise("candidate")
     changed = (F.col("status") == "approved") & F.col("__fresh") & ~F.col("headline").eqNullSafe(F.col("__h"))
     status = F.when(F.col("__stored").isNull(), first).when(F.coalesce(changed, F.lit(False)), "review").otherwise(F.col("status"))
     use = lambda old, fresh_col: F.when(F.col("__fresh"), F.col(fresh_col)).otherwise(F.col(old))
@@ -234,5 +234,5 @@ def upsert_items(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def may_approve(headline: Column, state: Column, status: Column) -> Column:
-    """Whether an editor may approve: a headline, eligible, neither held nor rejected."""
-    return (F.trim(F.coalesce(headline, F.lit(""))) != "") & (state == "eligible") & ~status.isin("held", "rejected")
+    """Whether an editor may approve: a headline, not ineligible, neither held nor rejected."""
+    return (F.trim(F.coalesce(headline, F.lit(""))) != "") & (F.coalesce(state, F.lit("")) != "ineligible") & ~status.isin("held", "rejected")

@@ -86,13 +86,13 @@ def score_breakdown(t):
 
 @query(
     _ORDERS
-    + """SELECT k AS cluster_id, trim(coalesce(h, '')) <> '' AND state = 'eligible' AND status NOT IN ('held', 'rejected') AS may_approve
-FROM (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 1 THEN '  ' ELSE o_orderpriority END AS h, CASE WHEN k % 5 = 0 THEN 'review' ELSE 'eligible' END AS state, ['suggested', 'held', 'rejected', 'approved'][(c % 4 + 1)::INT] AS status FROM o)"""
+    + """SELECT k AS cluster_id, trim(coalesce(h, '')) <> '' AND state <> 'ineligible' AND status NOT IN ('held', 'rejected') AS may_approve
+FROM (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 1 THEN '  ' ELSE o_orderpriority END AS h, CASE k % 5 WHEN 0 THEN 'review' WHEN 1 THEN 'ineligible' ELSE 'eligible' END AS state, ['candidate', 'held', 'rejected', 'approved'][(c % 4 + 1)::INT] AS status FROM o)"""
 )
 def approvals(t):
     head = F.when(_k() % 6 == 0, F.lit(None)).when(_k() % 6 == 1, "  ").otherwise(F.col("o_orderpriority"))
-    state = F.when(_k() % 5 == 0, "review").otherwise("eligible")
-    return _orders(t).select(_k().alias("cluster_id"), ranking.may_approve(head, state, _nth(["suggested", "held", "rejected", "approved"], F.col("c") % 4)).alias("may_approve"))
+    state = F.when(_k() % 5 == 0, "review").when(_k() % 5 == 1, "ineligible").otherwise("eligible")
+    return _orders(t).select(_k().alias("cluster_id"), ranking.may_approve(head, state, _nth(["candidate", "held", "rejected", "approved"], F.col("c") % 4)).alias("may_approve"))
 
 
 # --- clusters ------------------------------------------------------------------------------------------------------------
@@ -120,9 +120,9 @@ def cluster_providers(t):
 
 
 _RICH = """, r AS (SELECT *, 'report ' || l_partkey % 5 || CASE WHEN l_suppkey % 4 = 0 THEN ' ...' ELSE ' of the day in full' END AS headline, CASE WHEN l_partkey % 2 = 0 THEN 'publisher-title' ELSE 'discovery-text' END AS headline_kind,
-  CASE WHEN l_suppkey % 3 <> 0 THEN fresh_at END AS published_at FROM m), rs AS (SELECT *, count(*) OVER (PARTITION BY cluster_id, source) AS share FROM r),
-rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY enabled DESC, headline_kind = 'publisher-title' DESC, (length(headline) BETWEEN 20 AND 220 AND NOT contains(headline, '...')) DESC, quality = 'known' DESC,
-  share, published_at NULLS LAST, fresh_at, candidate_id) AS n FROM rs) WHERE n = 1)"""
+  CASE WHEN l_suppkey % 3 <> 0 THEN fresh_at END AS published_at FROM m), rs AS (SELECT *, count(*) OVER (PARTITION BY cluster_id, source) AS share FROM r WHERE headline_kind = 'publisher-title'),
+rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY (length(headline) BETWEEN 20 AND 220 AND NOT contains(headline, '...')) DESC, enabled DESC, CASE quality WHEN 'known' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END DESC,
+  CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 0 END DESC, published_at IS NOT NULL DESC, share, published_at NULLS LAST, candidate_id) AS n FROM rs) WHERE n = 1)"""
 
 
 def _rich_members(t) -> DataFrame:
@@ -190,17 +190,24 @@ def editors_state(t):
 
 @query(
     _ORDERS
-    + r"""SELECT k AS story_id, regexp_replace(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '(^-+|-+$)', '', 'g') AS slug, CASE WHEN k % 3 = 0 THEN 'none' ELSE 'developing' END AS urgency,
-CASE WHEN k % 4 = 0 AND c % 3 = 0 THEN 'summary,image' WHEN k % 4 = 0 THEN 'summary' WHEN c % 3 = 0 THEN 'image' ELSE '' END AS missing
-FROM (SELECT *, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 7 = 1 THEN ' ' ELSE '«' || o_orderpriority || '!» ' || k END AS h FROM o) WHERE trim(coalesce(h, '')) <> '' AND k % 5 <> 0 AND c % 4 NOT IN (1, 2)"""
+    + """, i AS (SELECT k AS cluster_id, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 7 = 1 THEN ' ' ELSE '«' || o_orderpriority || '!» ' || k END AS h, CASE k % 5 WHEN 0 THEN 'ineligible' WHEN 1 THEN 'review' ELSE 'eligible' END AS eligibility,
+  ['candidate', 'held', 'rejected', 'approved'][(c % 4 + 1)::INT] AS status, ['normal', 'developing', 'breaking-candidate'][(k % 3 + 1)::INT] AS urgency FROM o),
+e AS (SELECT l_orderkey AS cluster_id, 's' || l_suppkey AS domain, l_linenumber = 2 AS rep, ['known', 'unknown', 'low-quality'][(l_suppkey % 3 + 1)::INT] AS quality, l_shipdate AS seen_at, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS id FROM lineitem WHERE l_partkey % 10 <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, domain ORDER BY rep DESC, seen_at, id) AS k FROM e),
+s AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY rep DESC, CASE quality WHEN 'known' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, seen_at, domain) AS nth FROM p WHERE k = 1),
+a AS (SELECT cluster_id, string_agg(domain || ':' || quality, ',' ORDER BY nth) AS supporting, arg_min(domain, nth) FILTER (WHERE rep) AS attributed FROM s GROUP BY cluster_id)
+SELECT i.cluster_id AS story_id, CASE urgency WHEN 'normal' THEN 'none' ELSE 'developing' END AS urgency, urgency = 'breaking-candidate' AS breaking_candidate, status = 'approved' AS ready, attributed, coalesce(supporting, '') AS supporting, 'deck,byline,image,articleBody,slug,credibilityTier' AS missing
+FROM i LEFT JOIN a USING (cluster_id) WHERE trim(coalesce(h, '')) <> '' AND eligibility <> 'ineligible' AND status NOT IN ('held', 'rejected')"""
 )
 def story_previews(t):
     items = _orders(t).select(
         _k().alias("cluster_id"), F.when(_k() % 7 == 0, F.lit(None)).when(_k() % 7 == 1, " ").otherwise(F.concat(F.lit("«"), "o_orderpriority", F.lit("!» "), _k().cast("string"))).alias("headline"), F.lit("golf").alias("sport"),
-        F.when(_k() % 5 == 0, "ineligible").otherwise("eligible").alias("eligibility"), _nth(["suggested", "held", "rejected", "approved"], F.col("c") % 4).alias("status"), _nth(["normal", "developing", "breaking-candidate"], _k() % 3).alias("urgency"),
-        F.when(_k() % 4 != 0, "s").alias("summary"), F.when(F.col("c") % 3 != 0, "i").alias("image"),
+        F.when(_k() % 5 == 0, "ineligible").when(_k() % 5 == 1, "review").otherwise("eligible").alias("eligibility"), _nth(["candidate", "held", "rejected", "approved"], F.col("c") % 4).alias("status"), _nth(["normal", "developing", "breaking-candidate"], _k() % 3).alias("urgency"),
     )
-    return editorial.story_previews(items).select("story_id", "slug", "urgency", F.array_join("missing", ",").alias("missing"))
+    m = _members(t).withColumns({"domain": F.col("source"), "publisher": F.upper("source"), "url": F.concat(F.lit("https://"), "source"), "is_representative": F.col("l_linenumber") == 2, "reported_at": F.col("fresh_at")})
+    found = editorial.story_previews(items, ranking.supporting_sources(m))
+    supporting = F.array_join(F.transform("supporting", lambda r: F.concat_ws(":", r["domain"], r["quality"])), ",")
+    return found.select("story_id", "urgency", "breaking_candidate", "ready", F.col("attribution.domain").alias("attributed"), supporting.alias("supporting"), F.array_join("missing", ",").alias("missing"))
 
 
 # --- providers and runs --------------------------------------------------------------------------------------------------

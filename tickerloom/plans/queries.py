@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickerloom import storage
 from tickerloom.functions import classify, fixed, text, times, urls
-from tickerloom.operators import clustering, editorial, health, ingest_unit, intake, joins, ranking, slate, warehouse
+from tickerloom.operators import assignment, clustering, editorial, health, ingest_unit, intake, joins, ranking, slate, warehouse
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -21,7 +21,7 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             if spark.sparkContext.getCheckpointDir() is None:
-                _own_checkpoints(spark)
+                spark.sparkContext.setCheckpointDir(storage.shared_dir(spark))
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         _QUERIES[f.__name__] = run
@@ -32,13 +32,6 @@ def query(sql: str | None = None):
     return register
 
 
-def _own_checkpoints(spark: SparkSession) -> None:
-    """Only where no folder is named: tests and single machines."""
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickerloom-"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -387,34 +380,65 @@ def classify_headlines(t):
     return h.join(distinct, "headline").select("id", "headline", "sport", "confidence")
 
 
-def _synthetic(t) -> DataFrame:
-    return _cand(t).select("candidate_id", _synthetic_headline(F.col("candidate_id")).alias("headline"), "headline_kind", F.lit("basketball").alias("sport"), "fresh_at")
+def _reports(t) -> DataFrame:
+    """Candidates with their documents' own headlines, or every third with one in the lexicon's vocabulary, which event rules and teams know."""
+    c = _cand(t)
+    head = F.when(F.col("candidate_id") % 3 == 0, _synthetic_headline(F.col("candidate_id"))).otherwise(F.col("headline"))
+    sport = F.when(F.col("candidate_id") % 10 == 9, "unknown").otherwise("basketball")
+    return c.select("candidate_id", head.alias("raw"), text.normalize_headline(head, unicode_form=False).alias("headline"), F.col("headline_kind").alias("kind"), sport.alias("sport"), F.lit(None).cast("string").alias("league"), "fresh_at")
+
+
+_TEAMS = "[" + ", ".join("'" + t.lower().replace("'", "''") + "'" for t in dict.fromkeys(t.lower() for t in classify.team_terms())) + "]"
+_KEYS = "[" + ", ".join("'" + classify.canonical_team(t).replace("'", "''") + "'" for t in dict.fromkeys(t.lower() for t in classify.team_terms())) + "]"
+_NEAR = (
+    _CAND
+    + rf""", rep AS (SELECT candidate_id, h AS raw, trim(regexp_replace(lower(replace(regexp_replace(h, '[‐-―−]', '-', 'g'), '…', '...')), '\s+', ' ', 'g')) AS headline, headline_kind AS kind, CASE WHEN candidate_id % 10 = 9 THEN 'unknown' ELSE 'basketball' END AS sport, fresh_at
+  FROM (SELECT *, CASE WHEN candidate_id % 3 = 0 THEN {_SYNTH.format("candidate_id")} ELSE headline END AS h FROM cand)),
+title AS (SELECT * FROM rep WHERE kind = 'publisher-title'),
+w AS (SELECT headline, {_GRAMS.format("headline")} AS grams, list_distinct(list_transform(list_filter(range(1, len({_TEAMS}) + 1), lambda i: contains(' ' || regexp_replace(headline, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ', ' ' || {_TEAMS}[i] || ' ')), lambda i: {_KEYS}[i])) AS teams
+  FROM (SELECT DISTINCT headline FROM title)),
+pairs AS (SELECT a.headline AS a, b.headline AS b, len(list_intersect(a.grams, b.grams))::DOUBLE / len(list_distinct(list_concat(a.grams, b.grams))) AS similarity, list_has_any(a.teams, b.teams) AS team FROM w a JOIN w b ON a.headline <> b.headline),
+close AS (SELECT a, b, similarity FROM pairs WHERE similarity >= 0.3 OR team),
+last AS (SELECT x.candidate_id, y.headline, max((epoch_us(y.fresh_at), y.candidate_id)) AS y, any_value(c.similarity) AS similarity FROM title x JOIN close c ON c.a = x.headline JOIN title y ON y.headline = c.b AND y.sport = x.sport
+  AND (epoch_us(y.fresh_at), y.candidate_id) < (epoch_us(x.fresh_at), x.candidate_id) AND epoch_us(x.fresh_at) - epoch_us(y.fresh_at) <= {fixed.SEARCH_WINDOW_HOURS} * 3600000000 GROUP BY x.candidate_id, y.headline)
+"""
+)
+
+
+@query(
+    _NEAR
+    + f"""SELECT candidate_id, neighbour_id, similarity, nth FROM (SELECT candidate_id, y[2] AS neighbour_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY candidate_id ORDER BY similarity DESC, y[1] DESC, y[2]) AS nth FROM last) WHERE nth <= {fixed.NEIGHBOUR_LIMIT}"""
+)
+def near_reports(t):
+    """Of each report the neighbours by words or teams: one for each other wording, at most NEIGHBOUR_LIMIT."""
+    found = assignment.neighbours(_reports(t))
+    return found.select("candidate_id", "neighbour_id", F.round("similarity", 6).alias("similarity"), F.col("nth").cast("long").alias("nth"))
 
 
-def _edges(t) -> DataFrame:
-    return clustering.neighbour_edges(_synthetic(t))
+def _scored_reports(t) -> tuple[DataFrame, DataFrame]:
+    reports = storage.written(_reports(t))
+    return reports, storage.written(assignment.scored_neighbours(reports).drop("a", "b"))
 
 
 @query()
 def pair_scores(t):
-    """Evidence of every pair of reports within the search window with equal headlines, similarity from the floor on or a common team (tests check it against a plain version)."""
-    return _edges(t).filter("candidate_id < neighbour_id").select("candidate_id", "neighbour_id", "agreement", F.transform("contradictions", lambda c: c["code"]).alias("contradictions"), "score", "confidence", "route")
+    """Evidence of each report and its neighbours; tests hold guards and scores against a plain version."""
+    _, e = _scored_reports(t)
+    return e.select("candidate_id", "neighbour_id", "agreement", F.transform("contradictions", lambda c: c["code"]).alias("contradictions"), "score", "confidence", "route")
 
 
 @query()
 def greedy_clusters(t):
-    """Order-dependent assignment by component; tests compare it with one sequential walk."""
-    c = _synthetic(t)
-    types = classify.with_features(c.select("headline").distinct()).select("headline", "features.event_type", "features.event_types")
-    c = c.join(types, "headline").select("candidate_id", "headline", F.col("headline_kind").alias("kind"), "sport", "fresh_at", "event_type", "event_types")
-    e = _edges(t).select("candidate_id", "neighbour_id", "exact", "similarity", "score", "confidence", "route", "window")
-    return clustering.greedy_clusters(c, e).select("candidate_id", "cluster_id", "method", "score", F.size("ambiguous").alias("near_misses"))
+    """Clusters as one walk from the oldest report on decides them; tests hold the rounds against such a walk."""
+    reports, e = _scored_reports(t)
+    types = classify.with_features(reports.select("raw").distinct(), "raw").select("raw", "features.event_type", "features.event_types")
+    return assignment.assign(reports.join(types, "raw"), e).select("candidate_id", "cluster_id", "method", "score", F.size("near_misses").alias("near_misses"))
 
 
 # --- clusters over orders ------------------------------------------------------------------------------------------------
 
 _MEMBERS = """
-WITH m AS (SELECT l_orderkey AS cluster_id, l_orderkey * 10 + l_linenumber AS candidate_id, 's' || l_suppkey AS source, l_shipdate AS fresh_at,
+WITH m AS (SELECT l_orderkey AS cluster_id, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS candidate_id, 's' || l_suppkey AS source, l_shipdate AS fresh_at,
   CASE l_returnflag WHEN 'A' THEN 'trade' WHEN 'R' THEN 'injury' END AS event_type, CASE l_linestatus WHEN 'F' THEN 'high' ELSE 'medium' END AS confidence,
   ['known', 'unknown', 'low-quality'][(l_suppkey % 3 + 1)::INT] AS quality, l_partkey % 10 <> 0 AS enabled, l_partkey, l_suppkey, l_linenumber FROM lineitem)
 """
@@ -424,7 +448,7 @@ def _members(t) -> DataFrame:
     c = F.col
     return t("lineitem").select(
         c("l_orderkey").alias("cluster_id"),
-        (c("l_orderkey") * 10 + c("l_linenumber")).alias("candidate_id"),
+        (((c("l_orderkey") * 10 + c("l_linenumber")) * 1_000_000 + c("l_partkey")) * 10_000 + c("l_suppkey")).alias("candidate_id"),
         F.concat(F.lit("s"), c("l_suppkey").cast("string")).alias("source"),
         c("l_shipdate").cast("timestamp").alias("fresh_at"),
         F.when(c("l_returnflag") == "A", "trade").when(c("l_returnflag") == "R", "injury").alias("event_type"),
@@ -478,9 +502,10 @@ def cluster_profile(t):
 
 @query(
     _CAND
-    + r""", s AS (SELECT *, count(*) OVER (PARTITION BY normalized_headline, source) AS share, ['known', 'unknown', 'low-quality'][(candidate_id % 3 + 1)::INT] AS quality FROM cand),
-r AS (SELECT *, row_number() OVER (PARTITION BY normalized_headline ORDER BY enabled DESC, headline_kind = 'publisher-title' DESC,
-  (length(headline) BETWEEN 20 AND 220 AND NOT regexp_matches(headline, '(…|\.\.\.)') AND NOT regexp_matches(headline, '\s[|–—]\s')) DESC, quality = 'known' DESC, share, published_at NULLS LAST, discovered_at, candidate_id) AS n FROM s)
+    + r""", s AS (SELECT *, count(*) OVER (PARTITION BY normalized_headline, source) AS share, ['known', 'unknown', 'low-quality'][(candidate_id % 3 + 1)::INT] AS quality FROM cand WHERE headline_kind = 'publisher-title'),
+r AS (SELECT *, row_number() OVER (PARTITION BY normalized_headline ORDER BY
+  (length(headline) BETWEEN 20 AND 220 AND NOT regexp_matches(headline, '(\.\.\.|…)\s*$') AND NOT regexp_matches(headline, '\s[–—|]\s[^–—|]{2,60}$')) DESC, enabled DESC, CASE quality WHEN 'known' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END DESC,
+  CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, published_at IS NOT NULL DESC, share, published_at NULLS LAST, candidate_id, headline) AS n FROM s)
 SELECT normalized_headline AS cluster_id, candidate_id, headline FROM r WHERE n = 1"""
 )
 def representative_pick(t):
@@ -489,20 +514,20 @@ def representative_pick(t):
 
 
 _CLUSTERS = """
-WITH cl AS (SELECT o_orderkey AS cluster_id, o_orderdate AS last_seen_at, CASE o_orderstatus WHEN 'F' THEN 'stable' WHEN 'O' THEN 'active' ELSE 'needs_review' END AS status,
+WITH cl AS (SELECT o_orderkey AS cluster_id, o_orderdate AS last_seen_at, CASE o_orderstatus WHEN 'F' THEN 'stable' WHEN 'O' THEN 'open' ELSE 'needs_review' END AS status,
   CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey + 1 END AS merged_into_id FROM orders)
 """
 
 
 def _clusters(t) -> DataFrame:
-    status = F.when(F.col("o_orderstatus") == "F", "stable").when(F.col("o_orderstatus") == "O", "active").otherwise("needs_review")
+    status = F.when(F.col("o_orderstatus") == "F", "stable").when(F.col("o_orderstatus") == "O", "open").otherwise("needs_review")
     return t("orders").select(F.col("o_orderkey").alias("cluster_id"), F.col("o_orderdate").cast("timestamp").alias("last_seen_at"), status.alias("status"), F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey") + 1).alias("merged_into_id"))
 
 
 @query(
     _CLUSTERS
-    + """SELECT cluster_id, CASE WHEN merged_into_id IS NULL AND status IN ('active', 'stable') AND last_seen_at < TIMESTAMP '2001-07-01' - INTERVAL 72 HOURS THEN 'closed'
-WHEN merged_into_id IS NULL AND status = 'active' AND last_seen_at < TIMESTAMP '2001-07-01' - INTERVAL 24 HOURS THEN 'stable' ELSE status END AS status FROM cl"""
+    + """SELECT cluster_id, CASE WHEN merged_into_id IS NULL AND status IN ('open', 'stable') AND last_seen_at < TIMESTAMP '2001-07-01' - INTERVAL 72 HOURS THEN 'closed'
+WHEN merged_into_id IS NULL AND status = 'open' AND last_seen_at < TIMESTAMP '2001-07-01' - INTERVAL 24 HOURS THEN 'stable' ELSE status END AS status FROM cl"""
 )
 def cluster_age_out(t):
     return clustering.age_out(_clusters(t), F.lit("2001-07-01").cast("timestamp")).select("cluster_id", "status")
@@ -686,18 +711,18 @@ def supporting_sources(t):
 
 
 @query(
-    """WITH s AS (SELECT o_orderkey AS cluster_id, o_orderpriority AS headline, o_totalprice AS score, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'suggested' ELSE 'held' END AS status FROM orders WHERE o_orderkey % 3 <> 0),
-f AS (SELECT o_orderkey AS cluster_id, CASE WHEN o_orderkey % 5 = 0 THEN 'new ' || o_orderpriority ELSE o_orderpriority END AS headline, o_totalprice + 1 AS score, CASE WHEN o_orderkey % 2 = 0 THEN 'eligible' ELSE 'review' END AS eligibility FROM orders WHERE o_orderkey % 4 <> 0)
+    """WITH s AS (SELECT o_orderkey AS cluster_id, o_orderpriority AS headline, o_totalprice AS score, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'candidate' ELSE 'held' END AS status FROM orders WHERE o_orderkey % 3 <> 0),
+f AS (SELECT o_orderkey AS cluster_id, CASE WHEN o_orderkey % 5 = 0 THEN 'new ' || o_orderpriority ELSE o_orderpriority END AS headline, o_totalprice + 1 AS score, CASE o_custkey % 3 WHEN 0 THEN 'eligible' WHEN 1 THEN 'review' ELSE 'ineligible' END AS eligibility FROM orders WHERE o_orderkey % 4 <> 0)
 SELECT coalesce(s.cluster_id, f.cluster_id) AS cluster_id, CASE WHEN f.cluster_id IS NOT NULL THEN f.headline ELSE s.headline END AS headline, CASE WHEN f.cluster_id IS NOT NULL THEN f.score ELSE s.score END AS score,
-  CASE WHEN s.cluster_id IS NULL THEN CASE WHEN f.eligibility = 'eligible' THEN 'suggested' ELSE 'review' END WHEN s.status = 'approved' AND f.cluster_id IS NOT NULL AND s.headline IS DISTINCT FROM f.headline THEN 'review' ELSE s.status END AS status
+  CASE WHEN s.cluster_id IS NULL THEN CASE WHEN f.eligibility = 'review' THEN 'review' ELSE 'candidate' END WHEN s.status = 'approved' AND f.cluster_id IS NOT NULL AND s.headline IS DISTINCT FROM f.headline THEN 'review' ELSE s.status END AS status
 FROM s FULL JOIN f ON s.cluster_id = f.cluster_id"""
 )
 def editorial_upsert(t):
     o = F.col("o_orderkey")
-    status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "suggested").otherwise("held")
+    status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "candidate").otherwise("held")
     stored = t("orders").filter(o % 3 != 0).select(o.alias("cluster_id"), F.col("o_orderpriority").alias("headline"), F.col("o_totalprice").alias("score"), status.alias("status"))
     head = F.when(o % 5 == 0, F.concat(F.lit("new "), F.col("o_orderpriority"))).otherwise(F.col("o_orderpriority"))
-    fresh = t("orders").filter(o % 4 != 0).select(o.alias("cluster_id"), head.alias("headline"), (F.col("o_totalprice") + 1).alias("score"), F.when(o % 2 == 0, "eligible").otherwise("review").alias("eligibility"))
+    fresh = t("orders").filter(o % 4 != 0).select(o.alias("cluster_id"), head.alias("headline"), (F.col("o_totalprice") + 1).alias("score"), F.when(F.col("o_custkey") % 3 == 0, "eligible").when(F.col("o_custkey") % 3 == 1, "review").otherwise("ineligible").alias("eligibility"))
     return ranking.upsert_items(stored, fresh)
 
 
@@ -741,20 +766,68 @@ def legacy_homepage(t):
 # --- health and time -----------------------------------------------------------------------------------------------------
 
 
+_RUNS = """
+WITH runs AS (SELECT user_id AS provider, event_id AS run_id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' WHEN 'view' THEN 'partial' ELSE 'succeeded' END AS status,
+  CASE WHEN event_type = 'error' THEN 'error' WHEN value < 25 THEN 'empty' WHEN value > 80 THEN 'throttled' ELSE 'ok' END AS provider_state, event_id % 50 AS returned,
+  ts + to_minutes(event_id % 7) AS finished_at, CASE WHEN event_type = 'error' THEN 'code ' || event_id % 5 END AS error_message FROM events WHERE event_id % 11 <> 0),
+f AS (SELECT *, sum((status <> 'running')::INT) OVER (PARTITION BY provider ORDER BY ts DESC, run_id DESC) AS k FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, run_id DESC) AS n FROM runs) WHERE n <= 30),
+g AS (SELECT provider, count(*) FILTER (WHERE status <> 'running') AS done, count(*) AS runs,
+  coalesce(min(k) FILTER (WHERE status <> 'running' AND status <> 'failed') - 1, done)::BIGINT AS failures, coalesce(min(k) FILTER (WHERE status <> 'running' AND provider_state <> 'throttled') - 1, done)::BIGINT AS throttles,
+  coalesce(min(k) FILTER (WHERE status <> 'running' AND provider_state <> 'empty') - 1, done)::BIGINT AS empties,
+  arg_min(finished_at, k) FILTER (WHERE status IN ('succeeded', 'partial') AND provider_state IN ('ok', 'empty')) AS last_success_at,
+  arg_min(status, k) FILTER (WHERE status <> 'running') AS latest_status, arg_min(error_message, k) FILTER (WHERE status <> 'running' AND error_message IS NOT NULL) AS latest_error FROM f GROUP BY provider)
+"""
+
+
+def _runs(t) -> DataFrame:
+    kind, i = F.col("event_type"), F.col("event_id")
+    at = F.col("ts").cast("timestamp")
+    return t("events").filter(i % 11 != 0).select(
+        F.col("user_id").alias("provider"), i.alias("run_id"), at.alias("ts"), F.when(kind == "error", "failed").when(kind == "signup", "running").when(kind == "view", "partial").otherwise("succeeded").alias("status"),
+        F.when(kind == "error", "error").when(F.col("value") < 25, "empty").when(F.col("value") > 80, "throttled").otherwise("ok").alias("provider_state"), (i % 50).alias("returned"),
+        F.timestamp_micros(F.unix_micros(at) + (i % 7) * 60_000_000).alias("finished_at"), F.when(kind == "error", F.concat(F.lit("code "), (i % 5).cast("string"))).alias("error_message"),
+    )
+
+
+@query(_RUNS + "SELECT provider, failures, throttles, empties, epoch_us(last_success_at) AS last_success_at, latest_status, latest_error, runs FROM g")
+def run_streaks_health(t):
+    s = health.leading_streaks(_runs(t), "provider", "ts")
+    return s.select("provider", "failures", "throttles", "empties", _micros("last_success_at"), "latest_status", F.col("latest_error.message").alias("latest_error"), "runs")
+
+
+@query(_RUNS + "SELECT provider, count(*) AS recent_runs, sum(returned)::BIGINT AS recent_returned FROM runs WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 60 MINUTES GROUP BY provider")
+def recent_run_totals(t):
+    return health.recent_totals(_runs(t), "provider", "ts", F.lit("2024-01-20").cast("timestamp"))
+
+
 @query(
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('error', 'click') THEN 'failed' ELSE 'succeeded' END AS status,
-  CASE WHEN value < 20 THEN 0 ELSE 1 END AS returned FROM events)), f AS (SELECT * FROM r WHERE n <= 30),
-g AS (SELECT user_id, coalesce(min(n) FILTER (WHERE status <> 'failed') - 1, count(*)) AS failures, coalesce(min(n) FILTER (WHERE returned <> 0) - 1, count(*)) AS empties,
-  epoch_us(max(ts) FILTER (WHERE status <> 'failed')) AS last_success_at, sum(returned)::BIGINT AS returned, count(*) AS runs FROM f GROUP BY user_id)
-SELECT user_id, failures::BIGINT AS failures, empties::BIGINT AS empties, last_success_at, returned, runs, CASE WHEN user_id % 20 = 0 THEN 'disabled' WHEN failures >= 3 THEN 'down'
-  WHEN last_success_at IS NULL OR (epoch_us(TIMESTAMP '2024-01-31') - last_success_at) / 6e7 >= 2880 THEN 'stale' WHEN failures > 0 OR empties >= 24 THEN 'degraded' ELSE 'healthy' END AS state FROM g"""
+    _RUNS
+    + """, p AS (SELECT *, CASE WHEN provider % 13 = 0 THEN 'disabled' WHEN provider % 13 = 1 THEN 'degraded' WHEN provider % 13 < 9 THEN 'active' END AS db_status, provider % 17 <> 0 AS schedulable, 600 + provider % 5 * 300 AS stale_minutes, 2 + provider % 2 AS down_failures,
+  CASE WHEN provider % 3 > 0 THEN provider % 3 END AS degraded_empties, CASE WHEN provider % 4 = 0 THEN provider % 9 END AS lag_files FROM (SELECT DISTINCT user_id AS provider FROM events UNION SELECT -1)),
+j AS (SELECT p.*, coalesce(failures, 0) AS f, coalesce(throttles, 0) AS th, coalesce(empties, 0) AS em, coalesce(runs, 0) AS n, latest_status, floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_success_at)) / 6e7) AS since FROM p LEFT JOIN g USING (provider)),
+s AS (SELECT *, db_status IS NOT DISTINCT FROM 'disabled' AS off, since IS NULL OR since > stale_minutes AS quiet, coalesce(lag_files >= 6, false) AS lagging,
+  list_filter([CASE WHEN db_status = 'degraded' THEN 'marked-degraded' END, CASE WHEN latest_status = 'partial' THEN 'partial' END, CASE WHEN f >= 1 THEN 'failures' END, CASE WHEN th >= 1 THEN 'throttles' END,
+  CASE WHEN em >= degraded_empties THEN 'empties' END, CASE WHEN lag_files >= 3 THEN 'lag' END], lambda x: x IS NOT NULL) AS faults FROM j),
+st AS (SELECT *, CASE WHEN off OR NOT schedulable THEN 'disabled' WHEN n = 0 THEN 'unknown' WHEN f >= down_failures THEN 'down' WHEN quiet OR lagging THEN 'stale' WHEN len(faults) > 0 THEN 'degraded' ELSE 'healthy' END AS state FROM s)
+SELECT provider, state, array_to_string(CASE WHEN off THEN ['switched-off'] WHEN NOT schedulable THEN ['not-schedulable'] WHEN n = 0 THEN ['never-run'] WHEN f >= down_failures THEN ['failures']
+  WHEN quiet OR lagging THEN list_filter([CASE WHEN quiet THEN 'no-success' END, CASE WHEN lagging THEN 'lag' END], lambda x: x IS NOT NULL) WHEN len(faults) > 0 THEN faults ELSE ['recent-success'] END, ',') AS reasons,
+  array_to_string(list_filter([CASE WHEN off THEN 'provider-disabled:info' END, CASE WHEN NOT off AND schedulable AND n = 0 THEN 'provider-never-run:info' END, CASE WHEN state = 'down' THEN 'provider-down:critical' END, CASE WHEN state = 'stale' THEN 'provider-stale:critical' END,
+  CASE WHEN NOT off AND schedulable AND f >= 2 THEN CASE WHEN f >= down_failures THEN 'consecutive-failures:critical' ELSE 'consecutive-failures:warning' END END, CASE WHEN NOT off AND schedulable AND th >= 2 THEN 'consecutive-throttles:warning' END,
+  CASE WHEN NOT off AND schedulable AND lag_files >= 3 THEN CASE WHEN lagging THEN 'gkg-file-lag:critical' ELSE 'gkg-file-lag:warning' END END], lambda x: x IS NOT NULL), ',') AS alerts FROM st"""
 )
-def run_streaks_health(t):
-    failed = F.when(F.col("event_type").isin("error", "click"), "failed").otherwise("succeeded")
-    runs = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("run_id"), failed.alias("status"), F.when(F.col("value") < 20, 0).otherwise(1).alias("returned"))
-    s = health.leading_streaks(runs, "user_id", "ts").withColumn("enabled", F.col("user_id") % 20 != 0)
-    s = s.withColumn("state", health.provider_state(s, _now(), stale_minutes=2880))
-    return s.select("user_id", F.col("failures").cast("long").alias("failures"), F.col("empties").cast("long").alias("empties"), _micros("last_success_at"), "returned", "runs", "state")
+def provider_health_states(t):
+    """State, reasons and alerts of providers with all settings."""
+    k = F.col("provider")
+    p = t("events").select(F.col("user_id").alias("provider")).distinct().union(t("events").sparkSession.range(1).select(F.lit(-1).cast("long")))
+    p = p.withColumns(
+        {
+            "db_status": F.when(k % 13 == 0, "disabled").when(k % 13 == 1, "degraded").when(k % 13 < 9, "active"), "schedulable": k % 17 != 0, "stale_minutes": 600 + k % 5 * 300, "down_failures": 2 + k % 2,
+            "degraded_empties": F.when(k % 3 > 0, k % 3), "lag_files": F.when(k % 4 == 0, k % 9), "lag_degraded": F.lit(3), "lag_stale": F.lit(6),
+        }
+    )
+    found = health.provider_health(p, _runs(t), "provider", "ts", _now())
+    alerts = F.array_join(F.transform("alerts", lambda a: F.concat_ws(":", a["code"], a["severity"])), ",")
+    return found.select("provider", "state", F.array_join("reasons", ",").alias("reasons"), alerts.alias("alerts"))
 
 
 @query(
@@ -831,7 +904,7 @@ def _items(t) -> DataFrame:
     o = F.col("o_orderkey")
     return t("orders").select(
         o.alias("cluster_id"), F.element_at(F.array(F.lit("basketball"), F.lit("football"), F.lit("golf")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("sport"), F.when(o % 6 != 0, o % 1000).alias("rank"),
-        F.col("o_totalprice").alias("score"), F.concat(F.lit("r"), (o % 3).cast("string")).alias("run_id"), F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "suggested").otherwise("held").alias("status"),
+        F.col("o_totalprice").alias("score"), F.concat(F.lit("r"), (o % 3).cast("string")).alias("run_id"), F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "candidate").otherwise("held").alias("status"),
         F.when(o % 8 == 0, "ineligible").otherwise("eligible").alias("eligibility"), F.col("o_orderdate").cast("timestamp").alias("last_seen_at"),
     )
 
