@@ -972,4 +972,4 @@ def ingest_batch_items(t):
     return warehouse.ingest_batch(p.filter("candidate_id % 3 <> 0"), stored).select("candidate_id", "inserted")
 
 
-from tickerloom.plans import decisions  # noqa: E402, F401  registers its queries
+from tickerloom.plans import decisions, editing  # noqa: E402, F401  they register their queries
