@@ -21,15 +21,22 @@ def flag_copies(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("duplicate", F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1)
 
 
-def ingest_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def item_key() -> Column:
+    """Provider and item as one key; null without an item."""
+    return F.when(F.col("provider_item_id").isNotNull(), F.concat_ws("\x01", F.col("provider").cast("string"), "provider_item_id"))
+
+
+def ingest_batch(batch: DataFrame, stored: DataFrame, stored_items: DataFrame | None = None) -> DataFrame:
     """Adds ``inserted`` to a batch of (candidate_id, normalized_url, provider, provider_item_id, normalized_headline).
 
     A row is inserted unless a stored or an earlier inserted row of the batch (by headline, then URL) has its URL or its
     (provider, item). The two keys interact, so rows are first joined into components of shared keys (see ``_grouped``) and each component is walked in order; rows without a second key never leave the JVM.
+    stored_items (item_key): the stored items where a table of their own holds them, see operators/store.py.
     """
-    item = F.when(F.col("provider_item_id").isNotNull(), F.concat_ws("\x01", F.col("provider").cast("string"), "provider_item_id"))
+    item = item_key()
     known_url = stored.select(F.col("normalized_url").alias("__url")).distinct()
-    known_item = stored.select(item.alias("__item")).filter("__item is not null").distinct()
+    items = stored.select(item.alias("__item")) if stored_items is None else stored_items.select(F.col("item_key").alias("__item"))
+    known_item = items.filter("__item is not null").distinct()
     rows = batch.withColumn("__item", item)
     rows = rows.join(known_url.withColumn("__known_url", F.lit(True)), rows["normalized_url"] == F.col("__url"), "left").drop("__url")
     # Rows without an item all share the null key: they stay out of the join by item.
@@ -107,18 +114,37 @@ def rejection_log(rejections: DataFrame) -> DataFrame:
 
 
 def candidate_feed(
-    candidates: DataFrame, sources: DataFrame, since: Column, sports: list[str] | None = None, min_confidence: str = "low", statuses: tuple[str, ...] = ("new", "accepted"), publisher_only: bool = True, limit: int = 100
+    candidates: DataFrame,
+    sources: DataFrame,
+    since: Column | None = None,
+    sports: list[str] | None = None,
+    min_confidence: str | None = None,
+    statuses: tuple[str, ...] = ("new", "accepted"),
+    publisher_only: bool = True,
+    limit: int = 50,
+    providers: list | None = None,
+    qualities: list[str] | None = None,
+    published: tuple[Column | None, Column | None] = (None, None),
+    discovered: tuple[Column | None, Column | None] = (None, None),
+    disabled_sources: bool = False,
 ) -> DataFrame:
-    """Freshest candidates of enabled sources, newest first, at most 500; the limit is part of the feed."""
+    """Freshest candidates, newest first, 1 to 500; the limit is part of the feed.
+
+    Every knob that is left out lets everything pass, but only enabled sources and publisher titles show unless asked for. Both
+    ends of a range count; a missing time is in no range. Filters stand before the join, so that they reach the scan.
+    """
     levels = ["low", "medium", "high"]
-    kept = candidates.withColumn("fresh_at", F.coalesce("published_at", "discovered_at")).filter(
-        (F.col("fresh_at") >= since) & F.col("status").isin(*statuses) & F.col("confidence").isin(*levels[levels.index(min_confidence) :])
-    )
-    if sports:
-        kept = kept.filter(F.col("sport").isin(*sports))
+    kept = candidates.withColumn("fresh_at", F.coalesce("published_at", "discovered_at")).filter(F.col("status").isin(*statuses))
+    for column, (low, high) in (("fresh_at", (since, None)), ("published_at", published), ("discovered_at", discovered)):
+        kept = kept if low is None else kept.filter(F.col(column) >= low)
+        kept = kept if high is None else kept.filter(F.col(column) <= high)
+    for column, allowed in (("sport", sports), ("provider", providers), ("confidence", min_confidence and levels[levels.index(min_confidence) :])):
+        kept = kept.filter(F.col(column).isin(*allowed)) if allowed else kept
     if publisher_only:
         kept = kept.filter(F.col("headline_kind") == "publisher-title")
-    joined = kept.join(sources.filter("enabled").select("source", "source_name"), "source")
+    known = sources if disabled_sources else sources.filter("enabled")
+    known = known.filter(F.col("quality").isin(*qualities)) if qualities else known
+    joined = kept.join(known.select("source", "source_name"), "source")
     title = F.when(F.col("headline_kind") == "publisher-title", F.col("headline"))
     prose = F.when(F.col("headline_kind") != "publisher-title", F.col("headline"))
     return joined.withColumns({"publisher_headline": title, "discovery_text": prose}).orderBy(F.col("fresh_at").desc(), F.col("candidate_id").desc()).limit(min(max(limit, 1), 500))

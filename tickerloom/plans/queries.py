@@ -216,6 +216,24 @@ def candidate_feed(t):
     return feed.select("candidate_id", "source", "publisher_headline", _micros("fresh_at"))
 
 
+@query(
+    _CAND
+    + """SELECT candidate_id, source, headline AS shown, epoch_us(fresh_at) AS fresh_at FROM cand WHERE status IN ('new', 'rejected') AND sport IN ('click', 'view') AND provider IN (1, 2) AND ['known', 'unknown', 'low-quality'][(ascii(right(source, 1)) % 3 + 1)::INT] IN ('known', 'unknown')
+  AND published_at >= TIMESTAMP '2024-01-01 03:00:00' AND published_at <= TIMESTAMP '2024-01-28' AND discovered_at >= TIMESTAMP '2024-01-01 04:00:00' AND discovered_at <= TIMESTAMP '2024-01-27' ORDER BY cand.fresh_at DESC, candidate_id DESC LIMIT 500"""
+)
+def candidate_feed_knobs(t):
+    """The feed with every knob turned: discovery text and disabled sources too, providers, qualities and both ranges."""
+    quality = F.element_at(F.array(F.lit("known"), F.lit("unknown"), F.lit("low-quality")), (F.ascii(F.right("source", F.lit(1))) % 3 + 1).cast("int"))
+    sources = t("documents").select("source").distinct().select("source", F.col("source").alias("source_name"), (~F.col("source").isin("src3", "src7")).alias("enabled"), quality.alias("quality"))
+    at = lambda s: F.lit(s).cast("timestamp")
+    feed = warehouse.candidate_feed(
+        _cand(t).drop("fresh_at", "enabled"), sources, sports=["click", "view"], statuses=("new", "rejected"), publisher_only=False, limit=9000, providers=[1, 2], qualities=["known", "unknown"],
+        published=(at("2024-01-01 03:00:00"), at("2024-01-28")), discovered=(at("2024-01-01 04:00:00"), at("2024-01-27")), disabled_sources=True,
+    )
+    return feed.select("candidate_id", "source", F.coalesce("publisher_headline", "discovery_text").alias("shown"), _micros("fresh_at"))
+
+
+
 @query(
     _CAND
     + """SELECT 'candidates' AS metric, NULL AS key, count(*)::DOUBLE AS value FROM cand
