@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickerloom import storage
 from tickerloom.functions import classify, fixed, text, times, urls
-from tickerloom.operators import assignment, clustering, editorial, health, ingest_unit, intake, joins, ranking, slate, warehouse
+from tickerloom.operators import assignment, clustering, editorial, health, ingest_unit, intake, joins, ranking, slate, terms, warehouse
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -398,6 +398,29 @@ def classify_headlines(t):
     return h.join(distinct, "headline").select("id", "headline", "sport", "confidence")
 
 
+_TERM_ROWS = ", ".join("(" + ", ".join(["'" + r[0] + "'", "'" + r[2] + "'", str(r[3]), "'" + r[4].replace("'", "''") + "'", str(r[6]).upper(), "'" + r[7].replace("'", "''") + "'" if r[7] else "NULL"]) + ")" for r in terms.dictionary_rows())
+
+
+def _term_text(t) -> DataFrame:
+    """Whole texts after a line in the lexicon's vocabulary, which they lack."""
+    head = F.concat(_synthetic_headline(F.col("doc_id")), F.element_at(F.array(*[F.lit(x) for x in (" NBA lawyers", " nfl draft", " in the World Series", " at Special Olympics", " UFC title")]), (F.col("doc_id") % 5 + 1).cast("int")))
+    return t("documents").select("doc_id", F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(
+    f"""WITH terms(sport, tier, place, term, cased, guard) AS (VALUES {_TERM_ROWS}),
+d AS (SELECT doc_id, regexp_replace({_SYNTH.format("doc_id")} || [' NBA lawyers', ' nfl draft', ' in the World Series', ' at Special Olympics', ' UFC title'][(doc_id % 5 + 1)::INT] || chr(10) || coalesce(text, ''), '(?i){"|".join(fixed.NEUTRAL_PHRASES)}', ' ', 'g') AS t FROM documents),
+h AS (SELECT DISTINCT doc_id, sport, tier, place, term FROM d JOIN terms ON CASE WHEN cased THEN contains(t, term) ELSE contains(lower(t), lower(term)) END
+  WHERE regexp_matches(CASE WHEN cased THEN t ELSE lower(t) END, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(CASE WHEN cased THEN term ELSE lower(term) END) || '($|[^\\p{{L}}\\p{{N}}])') AND (guard IS NULL OR NOT regexp_matches(t, guard)))
+SELECT doc_id, sport, sum(CASE tier WHEN 'strong' THEN 3 WHEN 'team' THEN 2 ELSE 1 END)::BIGINT AS score, coalesce(string_agg(term, ',' ORDER BY place) FILTER (WHERE tier = 'strong'), '') AS strong,
+  coalesce(string_agg(term, ',' ORDER BY place) FILTER (WHERE tier = 'team'), '') AS team, coalesce(string_agg(term, ',' ORDER BY place) FILTER (WHERE tier = 'weak'), '') AS weak FROM h GROUP BY doc_id, sport"""
+)
+def document_terms(t):
+    """Evidence for each sport in whole documents, over the full lexicon."""
+    found = terms.term_evidence(_term_text(t), "doc_id", "text")
+    return found.select("doc_id", "sport", F.col("score").cast("long").alias("score"), *[F.array_join(c, ",").alias(c) for c in ("strong", "team", "weak")])
+
+
 def _reports(t) -> DataFrame:
     """Candidates with their documents' own headlines, or every third with one in the lexicon's vocabulary, which event rules and teams know."""
     c = _cand(t)
