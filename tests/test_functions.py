@@ -130,3 +130,38 @@ def test_intake(spark, headline, url, language, want):
     df = spark.createDataFrame([(headline, url, language)], "h string, u string, l string")
     got = df.select(intake.reject_reasons(F.col("h"), F.col("u"), F.col("l"), F.lit(None).cast("array<string>"), F.lit("high"), F.lit("unknown"))).first()[0]
     assert got == want
+
+
+def plain_extent(a, b):
+    def grams(t):
+        words = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        return [f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)]
+
+    want, seq = set(grams(a)), grams(b)
+    best = 0.0
+    for start in range(len(seq)):
+        seen = set()
+        for gram in seq[start:]:
+            seen.add(gram)
+            best = max(best, len(seen & want) / len(seen | want))
+    return best if want else 0.0
+
+
+def test_word_similarity_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(9)
+    words = ["Lakers", "beat", "Celtics", "110-102", "the", "the", "in", "überraschung", "naïve", "O'Neal", "aaa", "aaaa", "banana", "-", "x"]
+    some = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) for _ in range(90)] + [None, "", "!!"]
+    rows = [(k, rng.choice(some), rng.choice(some)) for k in range(5000)]
+    got = spark.createDataFrame(rows, "k long, a string, b string").repartition(4).select("k", text.word_similarity("a", "b").alias("s"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r.k: r.s for r in got.collect()}
+    known = {}
+    for k, a, b in rows:
+        if a is None or b is None:
+            assert found[k] is None
+            continue
+        if (a, b) not in known:
+            known[a, b] = max(plain_extent(a, b), plain_extent(b, a))
+        assert found[k] == pytest.approx(known[a, b], abs=1e-12), (a, b)

@@ -83,39 +83,45 @@ def similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 
 
-def _ordered_trigrams(text: str) -> list[str]:
-    words, word = [], ""
-    for c in text.lower() + " ":
-        if c.isalnum():
-            word += c
-        elif word:
-            words.append(word)
-            word = ""
-    return [f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)]
-
-
-def _best_extent(a: str, b: str) -> float:
-    """The largest similarity of a's trigram set with the trigrams of any continuous extent of b."""
-    want, seq = set(_ordered_trigrams(a)), _ordered_trigrams(b)
-    if not want or not seq:
-        return 0.0
-    best = 0.0
-    for start in range(len(seq)):
-        if seq[start] not in want:
-            continue
-        seen, shared = set(), 0
-        for gram in seq[start:]:
-            if gram not in seen:
-                seen.add(gram)
-                shared += gram in want
-            best = max(best, shared / (len(want) + len(seen) - shared))
-    return best
-
-
-@F.pandas_udf(T.DoubleType())
-def word_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The better of both directions' extents; it needs ordered trigrams, so it is computed for surviving pairs only."""
-    return pd.Series([None if x is None or y is None else max(_best_extent(x, y), _best_extent(y, x)) for x, y in zip(a, b)], dtype="float64")
+def ordered_trigrams(text: Column) -> Column:
+    """The trigrams of ``trigrams`` as they follow one another, repeats included."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))))
+
+
+def _best_extent(a: Column, b: Column) -> Column:
+    """The largest similarity of a's trigram set with the trigrams of any continuous extent of b.
+
+    Only extents that begin at a wanted trigram can be best. From each of these one fold goes to the end; a trigram counts where its
+    last occurrence lies before the beginning.
+    """
+
+    def folded(places: Column, wanted: Column) -> Column:
+        def step(acc: Column, x: Column, start: Column) -> Column:
+            new = x["before"] < start
+            seen, shared = acc["seen"] + new.cast("int"), acc["shared"] + (new & x["wanted"]).cast("int")
+            return F.struct(seen.alias("seen"), shared.alias("shared"), F.greatest(acc["best"], shared / (wanted + seen - shared)).alias("best"))
+
+        def from_start(start: Column) -> Column:
+            zero = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("shared"), F.lit(0.0).alias("best"))
+            return F.aggregate(F.slice(places, start, F.size(places)), zero, lambda acc, x: step(acc, x, start), lambda acc: acc["best"])
+
+        starts = F.filter(F.transform(places, lambda x, i: F.when(x["wanted"], i + 1)), lambda i: i.isNotNull())
+        return F.coalesce(F.array_max(F.transform(starts, from_start)), F.lit(0.0))
+
+    def places(p: Column) -> Column:
+        earlier = lambda g, i: F.array_position(F.reverse(F.slice(p["seq"], F.lit(1), i)), g).cast("int")
+        before = lambda g, i: bind(earlier(g, i), lambda n: F.when(n == 0, F.lit(0)).otherwise(i - n + 1))
+        made = F.transform(p["seq"], lambda g, i: F.struct(F.array_contains(p["want"], g).alias("wanted"), before(g, i).alias("before")))
+        return bind(made, lambda x: folded(x, F.size(p["want"])))
+
+    return bind(F.struct(trigrams(a).alias("want"), ordered_trigrams(b).alias("seq")), places)
+
+
+def word_similarity(a: Column | str, b: Column | str) -> Column:
+    """The better of both directions' extents; null where a text is null. Quadratic in a text's length: for pairs that are left over."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(_best_extent(a, b), _best_extent(b, a)))
 
 
 def extract_scores(headline: Column) -> Column:
