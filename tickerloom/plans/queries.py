@@ -431,6 +431,10 @@ def _reports(t) -> DataFrame:
 
 _TEAMS = "[" + ", ".join("'" + t.lower().replace("'", "''") + "'" for t in dict.fromkeys(t.lower() for t in classify.team_terms())) + "]"
 _KEYS = "[" + ", ".join("'" + classify.canonical_team(t).replace("'", "''") + "'" for t in dict.fromkeys(t.lower() for t in classify.team_terms())) + "]"
+_PROPER = [(t, len(t) > 1 and t[0].isupper() and t[1].islower() and t[:2].isascii()) for t in classify.team_terms()]
+_SPELLED = "[" + ", ".join("'" + (t if cased else t.lower()).replace("'", "''") + "'" for t, cased in _PROPER) + "]"
+_CASED = "[" + ", ".join(str(cased).upper() for _, cased in _PROPER) + "]"
+_OWN_KEYS = "[" + ", ".join("'" + classify.canonical_team(t).replace("'", "''") + "'" for t, _ in _PROPER) + "]"
 _NEAR = (
     _CAND
     + rf""", rep AS (SELECT candidate_id, h AS raw, trim(regexp_replace(lower(replace(regexp_replace(h, '[‐-―−]', '-', 'g'), '…', '...')), '\s+', ' ', 'g')) AS headline, headline_kind AS kind, CASE WHEN candidate_id % 10 = 9 THEN 'unknown' ELSE 'basketball' END AS sport, fresh_at
@@ -438,7 +442,9 @@ _NEAR = (
 title AS (SELECT * FROM rep WHERE kind = 'publisher-title'),
 w AS (SELECT headline, {_GRAMS.format("headline")} AS grams, list_distinct(list_transform(list_filter(range(1, len({_TEAMS}) + 1), lambda i: contains(' ' || regexp_replace(headline, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ', ' ' || {_TEAMS}[i] || ' ')), lambda i: {_KEYS}[i])) AS teams
   FROM (SELECT DISTINCT headline FROM title)),
-pairs AS (SELECT a.headline AS a, b.headline AS b, len(list_intersect(a.grams, b.grams))::DOUBLE / len(list_distinct(list_concat(a.grams, b.grams))) AS similarity, list_has_any(a.teams, b.teams) AS team FROM w a JOIN w b ON a.headline <> b.headline),
+said AS (SELECT headline, list_distinct(flatten(list(list_transform(list_filter(range(1, len({_SPELLED}) + 1), lambda i: contains(CASE WHEN {_CASED}[i] THEN words ELSE lower(words) END, ' ' || {_SPELLED}[i] || ' ')), lambda i: {_OWN_KEYS}[i])))) AS own
+  FROM (SELECT DISTINCT headline, ' ' || regexp_replace(raw, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' AS words FROM title) GROUP BY headline),
+pairs AS (SELECT a.headline AS a, b.headline AS b, len(list_intersect(a.grams, b.grams))::DOUBLE / len(list_distinct(list_concat(a.grams, b.grams))) AS similarity, list_has_any(said.own, b.teams) AS team FROM w a JOIN said ON said.headline = a.headline JOIN w b ON a.headline <> b.headline),
 close AS (SELECT a, b, similarity FROM pairs WHERE similarity >= 0.3 OR team),
 last AS (SELECT x.candidate_id, y.headline, max((epoch_us(y.fresh_at), y.candidate_id)) AS y, any_value(c.similarity) AS similarity FROM title x JOIN close c ON c.a = x.headline JOIN title y ON y.headline = c.b AND y.sport = x.sport
   AND (epoch_us(y.fresh_at), y.candidate_id) < (epoch_us(x.fresh_at), x.candidate_id) AND epoch_us(x.fresh_at) - epoch_us(y.fresh_at) <= {fixed.SEARCH_WINDOW_HOURS} * 3600000000 GROUP BY x.candidate_id, y.headline)
