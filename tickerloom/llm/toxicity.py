@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 8,
     for at, share in bags:
         part = rare[at] * share
         used = part > 0
-        parts.append((at[used].astype(np.int64), (part[used] / max(part.sum(), 1e-12)).astype(np.float32)))
+        parts.append((at[used], (part[used] / max(part.sum(), 1e-12)).astype(np.float32)))
     epochs = epochs or int(np.clip(24_000 / max(len(y), 1), 6, 40))  # small samples need as many steps
     weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9)).astype(np.float32)
     weights, biases = np.zeros(size), []
@@ -156,6 +157,16 @@ def fit_calibrated(bags: list, y: np.ndarray, share: float, seed: int = 7) -> To
     return ToxicityModel(model.rarity, model.weights, model.bias - shift)
 
 
+def _views(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    """Each value's bytes as numbers, where they lie: the driver holds the sample once."""
+    out = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        size = np.dtype(dtype).itemsize
+        out += [np.frombuffer(chunk.buffers()[2], dtype, (b - a) // size, a) if b > a else np.zeros(0, dtype) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold_out: int = 0, most: int = 1500) -> ToxicityModel:
     """Fit on at most ``most`` labelled documents of each class (whole texts; bags are made on the executors)."""
     counts = labelled.class_counts(labels, label, folds, fold_out)
@@ -168,11 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             )
 
     sample = labelled.training_sample(docs, labels, label, folds, fold_out, most)
-    rows = sample.mapInArrow(bags, "y int, at binary, share binary").toArrow().sort_by([("y", "ascending"), ("at", "ascending")])
-    y = rows["y"].to_numpy().astype(np.int64)
+    rows = sample.mapInArrow(bags, "y int, at binary, share binary").toArrow()
+    order = pc.sort_indices(rows, sort_keys=[("y", "ascending"), ("at", "ascending")]).to_pylist()
+    y = rows["y"].to_numpy().astype(np.int64)[order]
     if len(set(y.tolist())) < 2:  # nothing to tell apart: every document gets the one label's score
         return ToxicityModel(np.zeros(1 << BUCKETS_LOG, np.float32), np.zeros(1 << BUCKETS_LOG, np.float32), 40.0 if len(y) and y[0] else -40.0)
-    made = [(np.frombuffer(a, np.uint16), np.frombuffer(v, np.float32)) for a, v in zip(rows["at"].to_pylist(), rows["share"].to_pylist())]
+    at, share = _views(rows["at"], np.uint16), _views(rows["share"], np.float32)
+    made = [(at[i], share[i]) for i in order]
     return fit_calibrated(made, y, counts.get(1, 0) / max(sum(counts.values()), 1))
 
 
