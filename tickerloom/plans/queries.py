@@ -422,9 +422,10 @@ def document_terms(t):
 
 
 def _reports(t) -> DataFrame:
-    """Candidates with their documents' own headlines, or every third with one in the lexicon's vocabulary, which event rules and teams know."""
+    """Candidates with their documents' own headlines; every third, and those whose first line is too long for a headline, with one in the
+    lexicon's vocabulary, which event rules and teams know."""
     c = _cand(t)
-    head = F.when(F.col("candidate_id") % 3 == 0, _synthetic_headline(F.col("candidate_id"))).otherwise(F.col("headline"))
+    head = F.when((F.col("candidate_id") % 3 == 0) | (F.length("headline") > 220), _synthetic_headline(F.col("candidate_id"))).otherwise(F.col("headline"))
     sport = F.when(F.col("candidate_id") % 10 == 9, "unknown").otherwise("basketball")
     return c.select("candidate_id", head.alias("raw"), text.normalize_headline(head, unicode_form=False).alias("headline"), F.col("headline_kind").alias("kind"), sport.alias("sport"), F.lit(None).cast("string").alias("league"), "fresh_at")
 
@@ -438,7 +439,7 @@ _OWN_KEYS = "[" + ", ".join("'" + classify.canonical_team(t).replace("'", "''")
 _NEAR = (
     _CAND
     + rf""", rep AS (SELECT candidate_id, h AS raw, trim(regexp_replace(lower(replace(regexp_replace(h, '[‐-―−]', '-', 'g'), '…', '...')), '\s+', ' ', 'g')) AS headline, headline_kind AS kind, CASE WHEN candidate_id % 10 = 9 THEN 'unknown' ELSE 'basketball' END AS sport, fresh_at
-  FROM (SELECT *, CASE WHEN candidate_id % 3 = 0 THEN {_SYNTH.format("candidate_id")} ELSE headline END AS h FROM cand)),
+  FROM (SELECT *, CASE WHEN candidate_id % 3 = 0 OR length(headline) > 220 THEN {_SYNTH.format("candidate_id")} ELSE headline END AS h FROM cand)),
 title AS (SELECT * FROM rep WHERE kind = 'publisher-title'),
 w AS (SELECT headline, {_GRAMS.format("headline")} AS grams, list_distinct(list_transform(list_filter(range(1, len({_TEAMS}) + 1), lambda i: contains(' ' || regexp_replace(headline, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ', ' ' || {_TEAMS}[i] || ' ')), lambda i: {_KEYS}[i])) AS teams
   FROM (SELECT DISTINCT headline FROM title)),
