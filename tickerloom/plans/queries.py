@@ -944,7 +944,7 @@ def stream_event_dedupe(t):
 
 _ITEMS = """
 WITH it AS (SELECT o_orderkey AS cluster_id, ['basketball', 'football', 'golf'][(o_custkey % 3 + 1)::INT] AS sport, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 1000 END AS rank, o_totalprice AS score,
-  'r' || (o_orderkey % 3) AS run_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'suggested' ELSE 'held' END AS status, CASE WHEN o_orderkey % 8 = 0 THEN 'ineligible' ELSE 'eligible' END AS eligibility, o_orderdate AS last_seen_at FROM orders)
+  'r' || (o_orderkey % 3) AS run_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'candidate' ELSE 'held' END AS status, CASE WHEN o_orderkey % 8 = 0 THEN 'ineligible' ELSE 'eligible' END AS eligibility, o_orderdate AS last_seen_at FROM orders)
 """
 
 
@@ -963,9 +963,9 @@ def finish_rank(t):
     return editorial.finish_rank(items, F.lit("r1"), items.filter("cluster_id % 50 = 0").select("cluster_id")).select("cluster_id", "rank", "eligibility")
 
 
-@query(_ITEMS + "SELECT cluster_id, rank, score, status FROM it WHERE sport = 'basketball' AND status IN ('approved', 'suggested') ORDER BY it.rank NULLS LAST, score DESC, cluster_id LIMIT 500")
+@query(_ITEMS + "SELECT cluster_id, rank, score, status FROM it WHERE sport = 'basketball' AND status IN ('approved', 'candidate') ORDER BY it.rank NULLS LAST, score DESC, cluster_id LIMIT 500")
 def list_items(t):
-    return editorial.list_items(_items(t), "basketball", ["approved", "suggested"], limit=500).select("cluster_id", "rank", "score", "status")
+    return editorial.list_items(_items(t), "basketball", ["approved", "candidate"], limit=500).select("cluster_id", "rank", "score", "status")
 
 
 @query(
