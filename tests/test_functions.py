@@ -110,11 +110,6 @@ def test_classify(spark, headline, sport, confidence, kind):
     assert (row.sport, row.confidence, row.event_type) == (sport, confidence, kind)
 
 
-def test_names():
-    assert classify.names_of("Rookie Ethan Salas joins Padres, then Juan Soto speaks about it all", ["padres"]) == (["ethan", "juan", "salas", "soto"], ["ethan salas", "juan soto"], ["salas", "soto"])
-    assert classify.names_of("Everything Here Is Written With Capitals Today", []) == ([], [], [])
-
-
 @pytest.mark.parametrize(
     ("headline", "url", "language", "want"),
     [

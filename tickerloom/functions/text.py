@@ -24,6 +24,26 @@ def strip_diacritics(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"))
 
 
+#: Letters of alphabets with capitals whose compatibility decomposition, without marks, differs from them.
+_PLAIN = {
+    c: p
+    for low, high in ((0xC0, 0x24F), (0x370, 0x52F), (0x1E00, 0x1FFF), (0x2C60, 0x2C7F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A))
+    for c in map(chr, range(low, high + 1))
+    if c.isalpha() and (p := "".join(d for d in unicodedata.normalize("NFKD", c) if not "\u0300" <= d <= "\u036f")) != c and p.strip() == p
+}
+
+
+def plain_letters(s: Column) -> Column:
+    """strip_diacritics inside the JVM, for letters of the Latin, Greek and Cyrillic blocks and full-width ones; others lose only separate marks."""
+    single = {c: p for c, p in _PLAIN.items() if len(p) == 1}
+    several = {c: p for c, p in _PLAIN.items() if len(p) != 1}
+    spelled = s
+    for c, p in several.items():
+        spelled = F.replace(spelled, F.lit(c), F.lit(p))
+    t = F.when(s.rlike("[" + "".join(several) + "]"), spelled).otherwise(s)
+    return F.regexp_replace(F.translate(t, "".join(single), "".join(single.values())), "[\u0300-\u036f]", "")
+
+
 def normalize_headline(headline: Column, unicode_form: bool = True) -> Column:
     """The exact-duplicate key: compatibility form, no zero-width characters, plain quotes, dashes and dots, lower case, single blanks.
 

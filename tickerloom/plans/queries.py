@@ -453,6 +453,37 @@ last AS (SELECT x.candidate_id, y.headline, max((epoch_us(y.fresh_at), y.candida
 )
 
 
+_STOP = _LIST(sorted(set(fixed.NOT_NAMES.split())))
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, string_split({_SYNTH.format("doc_id")} || [' NBA lawyers', ' nfl draft', ' in the World Series', ' at Special Olympics', ' UFC title'][(doc_id % 5 + 1)::INT] || chr(10) || coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, unnest(s) AS h, unnest(range(1, len(s) + 1)) AS line FROM d),
+m AS (SELECT *, len(regexp_replace(h, '[^\p{{L}}]', '', 'g')) AS n, len(regexp_replace(h, '[^\p{{Lu}}]', '', 'g')) AS up, list_filter(regexp_split_to_array(h, '[\s\pZ]+'), lambda w: regexp_matches(w, '^\p{{L}}{{4}}')) AS long FROM l),
+k AS (SELECT doc_id, line, CASE WHEN n >= 8 AND up >= 0.8 * n THEN list_aggregate(list_transform(string_split(lower(h), ''), lambda c, i: CASE WHEN i = 1 OR regexp_matches(lower(h)[i - 1], '[\s(-]') THEN upper(c) ELSE c END), 'string_agg', '') ELSE h END AS h
+  FROM m WHERE NOT (len(long) >= 5 AND len(list_filter(long, lambda w: regexp_matches(w, '^\p{{Lu}}'))) > 0.7 * len(long))),
+o AS (SELECT *, ' ' || regexp_replace(h, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' AS said, regexp_split_to_array(h, '[\s\pZ]+') AS ws FROM k),
+q AS (SELECT doc_id, line, ws, flatten(list_transform(list_filter(range(1, len({_SPELLED}) + 1), lambda i: contains(CASE WHEN {_CASED}[i] THEN said ELSE lower(said) END, ' ' || {_SPELLED}[i] || ' ')), lambda i: regexp_split_to_array({_OWN_KEYS}[i], '[ -]'))) AS of_teams FROM o),
+w AS (SELECT doc_id, line, of_teams, unnest(ws) AS raw, unnest(range(1, len(ws) + 1)) AS i FROM q),
+b AS (SELECT *, regexp_replace(raw, '^[("''“‘]+', '') AS bare FROM w),
+t AS (SELECT *, regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(bare, '[^\p{{L}}''’.-]', '', 'g'))), '[''’]s?$', ''), '\.+$', '') AS token FROM b),
+f AS (SELECT doc_id, line, i, raw, token, regexp_matches(bare, '^\p{{Lu}}[\p{{L}}''’.-]') AND NOT regexp_matches(regexp_replace(bare, '[^\p{{L}}]', '', 'g'), '^\p{{Lu}}{{2,}}$') AND len(token) >= 3 AND NOT list_contains({_STOP}, token) AND NOT list_contains(of_teams, token) AS named FROM t),
+g AS (SELECT *, NOT named OR lag(regexp_matches(raw, '[,:;!?]$'), 1, FALSE) OVER (PARTITION BY doc_id, line ORDER BY i) AS cut FROM f),
+r AS (SELECT *, sum(cut::INT) OVER (PARTITION BY doc_id, line ORDER BY i) AS run FROM g),
+u AS (SELECT doc_id, line, list_aggregate(list(token ORDER BY i)[1:3], 'string_agg', ' ') AS name FROM r WHERE named GROUP BY doc_id, line, run HAVING count(*) > 1)
+SELECT doc_id, 'token' AS kind, token AS name, count(DISTINCT line) AS n_lines FROM f WHERE named GROUP BY doc_id, token
+UNION ALL SELECT doc_id, 'full', name, count(DISTINCT line) FROM u GROUP BY doc_id, name
+UNION ALL SELECT doc_id, 'surname', string_split(name, ' ')[-1], count(DISTINCT line) FROM u GROUP BY doc_id, string_split(name, ' ')[-1]"""
+)
+def document_names(t):
+    """Names in every line of whole documents, with the number of lines that have them."""
+    lines = _term_text(t).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    names = lines.select("doc_id", classify.extract_names(F.col("line"), classify.extract_teams(F.col("line"))).alias("n"))
+    told = lambda kind, c: F.transform(F.col(f"n.{c}"), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    told = F.concat(told("token", "tokens"), told("full", "full_names"), told("surname", "surnames"))
+    return names.select("doc_id", F.explode(told).alias("x")).groupBy("doc_id", "x.kind", "x.name").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query(
     _NEAR
     + f"""SELECT candidate_id, neighbour_id, similarity, nth FROM (SELECT candidate_id, y[2] AS neighbour_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY candidate_id ORDER BY similarity DESC, y[1] DESC, y[2]) AS nth FROM last) WHERE nth <= {fixed.NEIGHBOUR_LIMIT}"""
