@@ -313,6 +313,16 @@ def test_masks_find_every_overlap(n):
         assert any(place & gone == 0 for place in places), out
 
 
+def test_seed_filter(spark):
+    rng = np.random.default_rng(5)
+    own, others = rng.integers(-(2**63), 2**63, 5000), rng.integers(-(2**63), 2**63, 100_000)
+    own[:3] = [0, -1, 2**63 - 1]
+    bitmap = decontamination.seed_filter(spark.createDataFrame([(int(h),) for h in own], "h long"))
+    assert len(decontamination.passing(own.view(np.uint64), bitmap)) == len(own)
+    assert len(decontamination.passing(others.view(np.uint64), bitmap)) < 50
+    assert not decontamination.seed_filter(spark.createDataFrame([], "h long")).any()
+
+
 def test_decontamination_ways_agree(spark):
     line = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     docs = [(1, line), (1, line), (1, line.replace("c", "!")), (None, line), (None, line.upper()), (2, "nothing of it"), (3, None), (None, None)]

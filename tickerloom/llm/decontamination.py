@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ BROADCAST_WORDS = 2_000_000
 #: Tasks that rows of one seed are dealt to, where seeds are joined by shuffle.
 SALTS = 8
 
+#: Bits of the filter of items' seeds that every worker holds where seeds are joined by shuffle: 16 MB, whatever the benchmark's size.
+FILTER_BITS = 27
+
 _HITS = "doc_id long, item_id long, n_match long, window long, doc_start long, item_start long"
 
 
@@ -121,18 +125,35 @@ def _by_broadcast(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _HITS)
 
 
-def _seed_rows(table: DataFrame, key: str, of_item: bool) -> DataFrame:
-    """(key, h, at) of every seed; an item's seeds only where it is long enough and by its own masks."""
+def seed_filter(item_seeds: DataFrame) -> np.ndarray:
+    """A bitmap by the top FILTER_BITS bits of h: at most 2 ** (FILTER_BITS - 6) words reach the driver. Other seeds pass by chance, none of the items' is lost."""
+    top = item_seeds.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("top"))
+    words = top.groupBy(F.shiftrightunsigned("top", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(top & 63 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def passing(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that the bitmap lets through."""
+    top = h >> np.uint64(64 - FILTER_BITS)
+    return np.flatnonzero((bitmap[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1))
+
+
+def _seed_rows(table: DataFrame, key: str, known: Broadcast | None = None) -> DataFrame:
+    """(key, h, at) of seeds: without ``known`` an item's, only where it is long enough and by its own masks; with it a document's that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in doc_batches(batches):
             for row_id, text in zip(batch.column("row").to_pylist(), texts):
                 words = word_hashes(text)
-                if of_item and len(words) < LEAST_WORDS:
+                if known is None and len(words) < LEAST_WORDS:
                     continue
-                for mask in masks_of(len(words)) if of_item else MASKS + SHORT_MASKS:
+                for mask in masks_of(len(words)) if known is None else MASKS + SHORT_MASKS:
                     h = seeds(words, mask)
-                    yield pa.RecordBatch.from_arrays([pa.array([row_id] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)), pa.int64())], [key, "h", "at"])
+                    at = np.arange(len(h)) if known is None else passing(h, known.value)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([row_id] * len(at), pa.string()), pa.array(h[at].view(np.int64)), pa.array(at, pa.int64())], [key, "h", "at"])
 
     return table.select("row", "text").mapInArrow(run, f"{key} string, h long, at long")
 
@@ -140,13 +161,15 @@ def _seed_rows(table: DataFrame, key: str, of_item: bool) -> DataFrame:
 def _by_shuffle(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The same without a table on every worker: seeds of both sides are joined, and each pair of texts that they name is brought together once.
 
-    Equal texts are searched once; rows of a frequent seed are dealt to SALTS tasks, to each of which all items with it go.
+    Documents' seeds that no item has are dropped before the shuffle, but for those that a bitmap of fixed size lets through by chance. Equal texts are searched once; rows of a frequent seed are dealt to SALTS tasks, to each of which all items with it go.
     """
     keyed = docs.select("doc_id", "text", F.md5("text").alias("row")).filter(F.col("text").isNotNull())
     left = keyed.select("row", "text").dropDuplicates(["row"])
     right = benchmark.select("item_id", "text", F.col("item_id").cast("string").alias("row"))
-    salted = _seed_rows(left, "doc", False).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    spread = _seed_rows(right, "item", True).withColumnRenamed("at", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    item_seeds = materialize(_seed_rows(right, "item"), "item_seeds")
+    known = docs.sparkSession.sparkContext.broadcast(seed_filter(item_seeds))
+    salted = _seed_rows(left, "doc", known).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    spread = item_seeds.withColumnRenamed("at", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = salted.join(spread, ["h", "salt"]).groupBy("doc", "item").agg(F.collect_set(F.col("at") - F.col("q")).alias("shifts"))
     pairs = materialize(pairs, "seeds")
     joined = pairs.join(left.select(F.col("row").alias("doc"), F.col("text").alias("doc_text")), "doc").join(right.select(F.col("row").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
