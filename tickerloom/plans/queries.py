@@ -478,10 +478,10 @@ UNION ALL SELECT doc_id, 'surname', string_split(name, ' ')[-1], count(DISTINCT
 def document_names(t):
     """Names in every line of whole documents, with the number of lines that have them."""
     lines = _term_text(t).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    names = lines.select("doc_id", classify.extract_names(F.col("line"), classify.extract_teams(F.col("line"))).alias("n"))
-    told = lambda kind, c: F.transform(F.col(f"n.{c}"), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
-    told = F.concat(told("token", "tokens"), told("full", "full_names"), told("surname", "surnames"))
-    return names.select("doc_id", F.explode(told).alias("x")).groupBy("doc_id", "x.kind", "x.name").agg(F.count(F.lit(1)).alias("n_lines"))
+    told = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    of_kinds = lambda n: F.concat(told("token", n["tokens"]), told("full", n["full_names"]), told("surname", n["surnames"]))
+    names = classify.extract_names(F.col("line"), classify.extract_teams(F.col("line")))
+    return lines.select("doc_id", F.explode(text.bind(names, of_kinds)).alias("x")).groupBy("doc_id", "x.kind", "x.name").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query(
