@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tickerloom.functions import classify, fixed
+from tickerloom.functions import classify, fixed, text
 from tickerloom.operators import terms
 
 
@@ -24,3 +24,16 @@ def test_plan_does_not_grow_with_the_lexicon(spark):
     small = terms.dictionary(spark).filter(F.col("sport") == "golf")
     size = lambda known: len(terms.term_evidence(df, "doc_id", "text", known)._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert abs(size(small) - size(terms.dictionary(spark))) <= 2
+
+
+def test_only_runs_that_begin_a_term_are_made(spark):
+    """A long text's runs by a term's first word: those of all its runs, and none where no term begins."""
+    rng = random.Random(5)
+    words = ["NBA", "nba", "Trail", "Blazers", "the", "x-ray", "über", "ÜBER", "7", "__", "don't"]
+    rows = [(i, "".join(rng.choice(words) + rng.choice([" ", ", ", "-", "\n"]) for _ in range(rng.randrange(0, 40)))) for i in range(200)] + [(900, None), (901, ""), (902, " the ... the")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    firsts = F.array(*[F.lit(w) for w in ("nba", "trail", "über")])
+    begin = lambda run: F.array_contains(firsts, text.first_word(run))
+    got = df.select("id", text.phrases(F.col("t"), 3, firsts).alias("got"), F.filter(text.phrases(F.col("t"), 3), begin).alias("want")).collect()
+    assert all(r.got == r.want for r in got if r.id != 900) and sum(len(r.got) for r in got if r.got) > 500
+    assert next(r.got for r in got if r.id == 902) == [] and terms.term_evidence(df.filter("id >= 900"), "id", "t").isEmpty()

@@ -32,16 +32,17 @@ def term_evidence(texts: DataFrame, id_column: str, text_column: str, terms: Dat
     """(id, sport, score, strong, team, weak) of each text and each sport with a term in it; terms in the lexicon's order.
 
     A term counts once, as whole words; capitalised team and weak terms as they are written, others in any case; a guarded one only where
-    its guard is not in the text. Phrases that only look like sports are taken out first. Phrases of up to ``most_words`` words are exploded
-    and meet the dictionary by hash, so the plan is the same for any number of terms. Null texts and ids have no evidence. Rows
+    its guard is not in the text. Phrases that only look like sports are taken out first. Phrases of up to ``most_words`` words that begin
+    with some term's first word are exploded and meet the dictionary by hash, so the plan is the same for any number of terms. Null texts and ids have no evidence. Rows
     of one id count together.
     """
     neutral = F.col(text_column)
     for phrase in fixed.NEUTRAL_PHRASES:
         neutral = F.regexp_replace(neutral, f"(?i){phrase}", " ")
-    known = F.broadcast(terms if terms is not None else dictionary(texts.sparkSession))
+    terms = terms if terms is not None else dictionary(texts.sparkSession)
+    known, firsts = F.broadcast(terms), F.broadcast(terms.agg(F.collect_set(text.first_word(F.col("key"))).alias("__firsts")))
     t = texts.select(F.col(id_column).alias(id_column), neutral.alias("__text")).filter(F.col(id_column).isNotNull())
-    runs = t.select(id_column, "__text", F.explode(text.phrases(F.col("__text"), most_words)).alias("run"))
+    runs = t.crossJoin(firsts).select(id_column, "__text", F.explode(text.phrases(F.col("__text"), most_words, F.col("__firsts"))).alias("run"))
     met = runs.join(known, F.lower("run") == F.col("key")).filter((~F.col("cased") | (F.col("run") == F.col("term"))) & (F.col("guard").isNull() | ~F.rlike("__text", F.col("guard"))))
     found = met.groupBy(id_column, "sport", "sport_place").agg(F.collect_set(F.struct("tier", "place", "term")).alias("hits"))  # the lexicon's size at most
     of = lambda tier: F.transform(F.array_sort(F.filter("hits", lambda h: h["tier"] == tier)), lambda h: h["term"])
