@@ -167,7 +167,7 @@ def merge_ends(folds: DataFrame, most: int = 64) -> DataFrame:
 def merge_stored(clusters: DataFrame, members: DataFrame, near_misses: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(clusters, members, near_misses, audit) after merges of stored clusters, by the change alone.
 
-    clusters: cluster_id, status, merged_into_id and aggregates (see recomputed). members: candidate_id, cluster_id and what aggregates need.
+    clusters: cluster_id, status, merged_into_id and aggregates, all or some of recomputed's. members: candidate_id, cluster_id and what aggregates need.
     near_misses: candidate_id, cluster_id, score. merges and audit: see judge_merges. Members of merged clusters move to the end of their
     chain. Only clusters touched are recomputed, from their members alone; all others keep their rows. The folded cluster closes with
     counts 0; a stable or closed survivor opens. A near miss follows its cluster; where two meet, the one that was there first
@@ -196,7 +196,7 @@ def _swapped(clusters: DataFrame, members: DataFrame, touched: DataFrame) -> Dat
     """Clusters with new aggregates where touched, and __some and __emptied: whether a touched one has members. One without keeps
     what describes it, but for counts, representative and headline."""
     fresh = recomputed(members.join(touched, "cluster_id", "left_semi"))
-    aggregates = [x for x in fresh.columns if x != "cluster_id"]
+    aggregates = [x for x in fresh.columns if x != "cluster_id" and x in clusters.columns]
     marked = touched.withColumn("__touched", F.lit(True))
     new = fresh.select("cluster_id", F.lit(True).alias("__new"), *[F.col(x).alias(f"__{x}") for x in aggregates])
     c = clusters.join(marked, "cluster_id", "left").join(new, "cluster_id", "left")

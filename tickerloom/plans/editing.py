@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.operators import commands
+from tickerloom.operators import clustering, commands
 from tickerloom.plans.queries import _CLUSTERS, _MEMBERS, _clusters, _members, query
 
 # Parts are editorial items, orders commands to them.
@@ -141,7 +141,8 @@ def merged_clusters(t):
     m = _members(t).withColumns(
         {"discovered_at": F.col("fresh_at"), "published_at": F.col("fresh_at"), "sport": F.lit("golf"), "league": F.lit(None).cast("string"), "headline": F.concat(F.lit("report number "), F.col("l_partkey").cast("string")), "headline_kind": F.lit("publisher-title")}
     )
-    stored = _clusters(t).drop("last_seen_at").join(commands.recomputed(m), "cluster_id", "left").fillna(0, ["candidate_count", "source_count"])
+    counts = clustering.cluster_aggregates(m).select("cluster_id", "candidate_count", "source_count")  # what the stored table keeps
+    stored = _clusters(t).drop("last_seen_at").join(counts, "cluster_id", "left").fillna(0, ["candidate_count", "source_count"])
     o = F.col("o_orderkey")
     c = t("orders").filter(o % 20 == 7).select(o.alias("command_id"), F.col("o_orderdate").cast("timestamp").alias("at"), o.alias("from_id"), (o + 1).alias("into_id"))
     near = m.select("candidate_id", (F.col("cluster_id") + 1).alias("cluster_id"), F.lit(0.5).alias("score"))
