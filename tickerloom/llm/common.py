@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -9,10 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+#: Rows whose texts a worker holds at once.
+SLICE = 1_000
+_KEPT: dict[str, object] = {}
+_KEPT_FOR: list[int | None] = [None]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,10 +63,33 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(column).cast(pa.large_binary())]
 
 
+def kept_for_stage() -> dict[str, object]:
+    """What this worker keeps from task to task of one stage; a task of another stage finds it empty."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if _KEPT_FOR[0] != stage:
+        _KEPT.clear()
+        _KEPT_FOR[0] = stage
+    return _KEPT
+
+
+def release_freed() -> None:
+    """Hand memory that is free back to the system: workers stay for later stages, which run beside them in the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def doc_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The rows in slices of at most SLICE, with their texts. What earlier stages left in this worker goes first, and what is free when the task ends."""
+    kept_for_stage()
+    release_freed()
     for batch in batches:
-        if batch.num_rows:
-            yield batch, texts_of(batch, column)
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield part, texts_of(part, column)
+    release_freed()
 
 
 # --- word hashes -------------------------------------------------------------------------------------------------------

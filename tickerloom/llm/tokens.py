@@ -13,9 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from tickerloom.llm.common import kept_for_stage
+
 END_ID = 1
 #: Words remembered by a worker; beyond it the table starts anew, which costs time only.
 REMEMBER = 600_000
+#: New words that the library encodes at once: what it returns takes about a kilobyte a word.
+LEARN = 10_000
 #: Bytes of texts encoded at once, and bytes of a text that are split into words at once.
 GROUP, PIECE = 1 << 21, 1 << 18
 _WHITE = re.compile(rb"[ \t-\r]")
@@ -26,7 +30,6 @@ _WIDE = re.compile(rb"[\xc4-\xff]")
 _PUNCT = re.escape(b".,|!$%&*#;:?")
 #: Closing punctuation after a letter or digit. A run of symbols is one piece, so there, and only there, it is a piece of its own.
 _CLOSING = re.compile(rb"[%b](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[%b]*+(?=[ \t-\r]|\Z)" % (_PUNCT, _PUNCT))
-_MADE: dict[str, "WordEncoder"] = {}
 
 
 def default_vocabulary() -> str:
@@ -71,8 +74,14 @@ class WordEncoder(dict):
         return n
 
     def _learn(self) -> None:
-        """Encode the new words: plain ones by the library's merge step together, the others by its whole chain."""
-        plain = [w for w in self.new if _PLAIN.fullmatch(w)] if self.last.any() else []
+        """Encode the new words, LEARN at once."""
+        for at in range(0, len(self.new), LEARN):
+            self._learn_some(self.new[at : at + LEARN])
+        self.new = []
+
+    def _learn_some(self, new: list[bytes]) -> None:
+        """Plain words are encoded by the library's merge step together, the others by its whole chain."""
+        plain = [w for w in new if _PLAIN.fullmatch(w)] if self.last.any() else []
         made = {}
         if plain:
             joined = b" ".join(plain)
@@ -80,13 +89,12 @@ class WordEncoder(dict):
             ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
             raw, ends = ids.tobytes(), (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
             made = {w: raw[a:b] for w, a, b in zip(plain, [0, *ends], ends, strict=False)}
-        rest = [w for w in self.new if w not in made]
+        rest = [w for w in new if w not in made]
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
         made.update((w, array("H", x.ids).tobytes()) for w, x in zip(rest, found))
-        parts = list(map(made.__getitem__, self.new))
+        parts = list(map(made.__getitem__, new))
         self.ids_known.frombytes(b"".join(parts))
         self.ends.extend((self.ends[-1] + np.cumsum(np.array(list(map(len, parts))) // 2)).tolist())
-        self.new = []
 
     def _split(self, text: bytes) -> list[bytes]:
         """The words of a text: in lower case and without their closing punctuation where that changes no id."""
@@ -145,7 +153,8 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a vocabulary file."""
-    if path not in _MADE:
-        _MADE[path] = WordEncoder(path)
-    return _MADE[path]
+    """This worker's encoder for a vocabulary file, with the words that it met in this stage."""
+    kept = kept_for_stage()
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
